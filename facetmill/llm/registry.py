@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from facetmill.llm import mixing
+from facetmill.llm import jaccard, mixing
 
 
 def queries() -> dict:
-    return {"op6_mixing": mixing.op6_mixing}
+    return {"op4_jaccard_join": jaccard.op4_jaccard_join, "op6_mixing": mixing.op6_mixing}
 
 
 def oracle_sql() -> dict:
-    return {"op6_mixing": mixing.ORACLE_SQL}
+    return {"op4_jaccard_join": jaccard.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
