@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from facetmill.llm import jaccard, mixing, pii, sentencepiece, toxicity
+from facetmill.llm import jaccard, mixing, pii, sentencepiece, toxicity, urls, vptree
 
 
 def queries() -> dict:
-    return {"op3_toxicity": toxicity.op3_toxicity, "op4_jaccard_join": jaccard.op4_jaccard_join, "op6_mixing": mixing.op6_mixing, "op9_sentencepiece": sentencepiece.op9_sentencepiece, "op10_pii": pii.op10_pii}
+    return {"op1_nearest": vptree.op1_nearest, "op3_toxicity": toxicity.op3_toxicity, "op4_jaccard_join": jaccard.op4_jaccard_join, "op5_url_filter": urls.op5_url_filter, "op6_mixing": mixing.op6_mixing, "op9_sentencepiece": sentencepiece.op9_sentencepiece, "op10_pii": pii.op10_pii}
 
 
 def oracle_sql() -> dict:
