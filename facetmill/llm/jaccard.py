@@ -10,9 +10,10 @@ the corpus), the rest by hash; it decides cost only, never results.
    group (size and position filters), then the pairs of groups that remain are expanded to classes
    and filtered by a 512-bit parity signature, a strict bound: two sets that differ in d shingles
    have signatures that differ in at most d bits.
-3. First pass: of the pairs left in one shingle's entries, a spanning forest of the nearest is
-   verified against the full sets, and components are formed. Second pass: every pair left between
-   different components is verified. Links within a component need no check, so no group of copies
+   Large sets are held against each other once more by signatures that grow with them.
+3. First pass: of the pairs left in one shingle's entries, a spanning forest of the nearest is kept;
+   of all forests, each class's nearest pair, then the nearest pair between any two components, is
+   verified against the full sets. Second pass: every pair left between different components is verified. Links within a component need no check, so no group of copies
    is expanded into all its pairs, and no link between components is lost.
 
 Entries of a frequent shingle are cut in blocks, one task a pair of blocks, so that no task holds an
@@ -35,13 +36,16 @@ from pyspark.sql import functions as F
 
 from facetmill.llm.wordhash import mix, shingle_set, text_words
 from facetmill.operators.graph import connected_components
-from facetmill.sources.scratch import Scratch
+from facetmill.sources.scratch import Scratch, arrow_rows
 
 HEAVY_MOST = 65_536  # entries of the list that orders frequent shingles last; it decides cost only
 HEAVY_LEAST = 8
 BLOCK = 1024
 BROADCAST_IDS = 400_000  # about 10 MB; beyond it the same join is shuffled
 SIGNATURE_BYTES = 64
+WIDE_FROM = 400
+SHORT_RUN = 24  # entries of one shingle that are compared by shifts, many shingles at once
+ROWS = 2_000  # of an Arrow batch
 _U = np.uint64
 
 
@@ -57,6 +61,24 @@ def _signature(s: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _wide(s: np.ndarray) -> bytes | None:
+    """For large sets, the same kind of signature with 2 to 4 bits an element, indexed by low bits so that it folds."""
+    if len(s) <= WIDE_FROM:
+        return None
+    size = 1 << int(2 * len(s) - 1).bit_length()
+    bits = np.bincount((mix(s) & _U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _wide_distance(x: bytes, y: bytes) -> int:
+    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _set_id(s: np.ndarray) -> int:
     """A hash of the whole set; 64 bits, so that equal ids mean equal sets but for a chance of about 2**-64 a pair."""
     with np.errstate(over="ignore"):
@@ -100,7 +122,7 @@ def _order(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate((s[~hot], s[hot][np.argsort(rank[at[hot]], kind="stable")]))
 
 
-SETS = "doc_id long, n long, cid long, gid long, bits binary, prefix array<long>"
+SETS = "doc_id long, n long, cid long, gid long, bits binary, wide binary, prefix array<long>"
 
 
 def signatures(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -113,103 +135,112 @@ def signatures(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataF
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, rank = shared.value
         for b in batches:
-            n, cid, gid, bits, prefix = [], [], [], [], []
+            n, cid, gid, bits, wide, prefix = [], [], [], [], [], []
             for words in text_words(b.column(1)):
                 s = shingle_set(words, k)
                 n.append(len(s))
                 if not len(s):
-                    cid.append(None), gid.append(None), bits.append(None), prefix.append(None)
+                    cid.append(None), gid.append(None), bits.append(None), wide.append(None), prefix.append(None)
                     continue
                 p = _order(s, heavy, rank)[: prefix_sizes(len(s), percent)[0]]
                 cid.append(_set_id(s))
                 gid.append(int(mix(np.array([_U(_set_id(p) & (2**64 - 1)) ^ _U(len(s))], dtype=_U)).view(np.int64)[0]))
                 bits.append(_signature(s))
+                wide.append(_wide(s))
                 prefix.append(p.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "cid", "gid", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "cid", "gid", "bits", "wide", "prefix"])
 
     return scratch.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SETS), "sets")
 
 
-ENTRIES = ("token", "lo", "hi", "block", "gid", "n", "pos", "cid", "comp", "bits")
+KEYS = ("own", "token", "lo", "hi")
+COLUMNS = (*KEYS, "block", "gid", "n", "pos", "cid", "comp", "bits")
 
 
 def _compare(percent: int, forest: bool):
-    """Pairs of classes left in each run of equal (token, lo, hi); with forest, only a spanning forest of them by nearest signature."""
-
-    def pairs(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        m = len(t["cid"])
-        n, pos = t["n"], t["pos"]
-        raw = np.frombuffer(b"".join(t["bits"]), dtype=np.uint8).reshape(m, SIGNATURE_BYTES)
-        sign = np.unpackbits(raw, axis=1).astype(np.float32)
-        ones = sign.sum(axis=1)
+    """Pairs of classes left in each run of equal KEYS, with the bits in which their signatures differ; with forest, only a spanning forest of them, nearest first."""
+
+    def fits(t: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the entry pairs (a, b) of one run pass every filter, as positions in a, and their signatures' distance."""
+        na, nb, pa_, pb = t["n"][a], t["n"][b], t["pos"][a], t["pos"][b]
+        need = (percent * (na + nb) + 99 + percent) // (100 + percent)
+        same = t["gid"][a] == t["gid"][b]
+        lowest = np.where(na <= nb, pa_ < prefix_sizes(na, percent)[1], pb < prefix_sizes(nb, percent)[1])
+        fit = np.where(t["own"][a] == 1, same, ~same & lowest & (np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= need))
+        fit &= (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (t["comp"][a] != t["comp"][b])
+        fit &= (t["lo"][a] == t["hi"][a]) | (t["block"][a] != t["block"][b])
+        at = np.flatnonzero(fit)
+        differ = np.bitwise_count(t["bits"][a[at]] ^ t["bits"][b[at]]).sum(axis=1).astype(np.int64)
+        near = differ <= (na + nb - 2 * need)[at]
+        return at[near], differ[near]
+
+    def pairs(t: dict[str, np.ndarray], edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left, right, far = [], [], []
-        step = max(1, (1 << 21) // m)
-        for i in range(0, m, step):
-            r = slice(i, min(m, i + step))
-            na, pa_ = n[r, None], pos[r, None]
-            small, large = np.minimum(na, n[None]), np.maximum(na, n[None])
-            need = (percent * (na + n[None]) + 99 + percent) // (100 + percent)
-            fit = 100 * small >= percent * large
-            fit &= np.arange(m)[None] > np.arange(m)[r, None]
-            fit &= (t["lo"][r, None] == t["hi"][r, None]) | (t["block"][r, None] != t["block"][None])
-            fit &= (t["comp"][r, None] != t["comp"][None]) & (t["cid"][r, None] != t["cid"][None])
-            same = t["gid"][r, None] == t["gid"][None]
-            alone = (t["own"][r, None]) == 1  # a run of one group's own members
-            reach = np.minimum(pa_, pos[None]) + 1 + np.minimum(na - pa_, n[None] - pos[None]) - 1
-            lowest = np.where(na <= n[None], pa_ < prefix_sizes(na, percent)[1], pos[None] < prefix_sizes(n[None], percent)[1])
-            fit &= np.where(alone, same, ~same & (reach >= need) & lowest)
-            if not fit.any():
-                continue
-            differ = ones[r, None] + ones[None] - 2 * (sign[r] @ sign.T)
-            fit &= differ <= na + n[None] - 2 * need
-            a, b = np.nonzero(fit)
-            left.append(a + i), right.append(b), far.append(differ[a, b])
+        size = np.diff(edges)
+        run = np.repeat(np.arange(len(size)), size)
+        short = np.repeat(size <= SHORT_RUN, size)
+        for shift in range(1, SHORT_RUN):
+            a = np.flatnonzero((run[:-shift] == run[shift:]) & short[:-shift]) if shift < len(run) else np.empty(0, np.int64)
+            if not len(a):
+                break
+            at, d = fits(t, a, a + shift)
+            left.append(a[at]), right.append(a[at] + shift), far.append(d)
+        for r in np.flatnonzero(size > SHORT_RUN):
+            x, y = edges[r], edges[r + 1]
+            step = max(1, (1 << 18) // (y - x))
+            for i in range(x, y, step):
+                a, b = np.meshgrid(np.arange(i, min(y, i + step)), np.arange(i + 1, y), indexing="ij")
+                upper = a < b
+                a, b = a[upper], b[upper]
+                at, d = fits(t, a, b)
+                left.append(a[at]), right.append(b[at]), far.append(d)
         if not left:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         a, b, d = np.concatenate(left), np.concatenate(right), np.concatenate(far)
-        if not forest:
-            return t["cid"][a], t["cid"][b]
-        parent = list(range(m))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        keep = []
-        for e in np.argsort(d, kind="stable").tolist():
-            x, y = root(a[e]), root(b[e])
-            if x != y:
-                parent[x] = y
-                keep.append(e)
-        return t["cid"][a[keep]], t["cid"][b[keep]]
+        if forest:  # an entry belongs to one run, so one forest over entries holds those of all runs
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = parent.get(up, up)
+                    x = up
+                return x
+
+            keep = []
+            order = np.argsort(d, kind="stable")
+            for e, i, j in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+                x, y = root(i), root(j)
+                if x != y:
+                    parent[x] = y
+                    keep.append(e)
+            a, b, d = a[keep], b[keep], d[keep]
+        return t["cid"][a], t["cid"][b], d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def solve(table: pa.Table) -> pa.RecordBatch:
-            t = {c: table.column(c).to_numpy() for c in ("token", "lo", "hi", "block", "gid", "n", "pos", "cid", "comp", "own")}
-            t["bits"] = np.array(table.column("bits").to_pylist(), dtype=object)
-            keys = np.stack([t["own"], t["token"], t["lo"], t["hi"]])
+            t = {c: table.column(c).to_numpy() for c in COLUMNS if c != "bits"}
+            bits = b"".join(c.buffers()[-1].to_pybytes()[c.offset * SIGNATURE_BYTES : (c.offset + len(c)) * SIGNATURE_BYTES] for c in table.column("bits").cast(pa.binary(SIGNATURE_BYTES)).chunks)
+            t["bits"] = np.frombuffer(bits, dtype=_U).reshape(table.num_rows, -1)
+            keys = np.stack([t[c] for c in KEYS])
             cut = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
-            edges = np.concatenate(([0], cut, [len(t["cid"])]))
-            out = [pairs({c: v[x:y] for c, v in t.items()}) for x, y in zip(edges[:-1], edges[1:], strict=True) if y - x > 1]
-            a = np.concatenate([x for x, _ in out]) if out else np.empty(0, np.int64)
-            b = np.concatenate([x for _, x in out]) if out else np.empty(0, np.int64)
+            a, b, d = pairs(t, np.concatenate(([0], cut, [table.num_rows])))
             if len(a):
-                a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                lo, hi = np.minimum(a, b), np.maximum(a, b)
+                _, at = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
+                a, b, d = lo[at], hi[at], d[at]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None else table
-            last = [table.column(c)[-1].as_py() for c in ("own", "token", "lo", "hi")]
             same = np.ones(table.num_rows, dtype=bool)
-            for c, v in zip(("own", "token", "lo", "hi"), last, strict=True):
-                same &= table.column(c).to_numpy() == v
+            for c in KEYS:
+                v = table.column(c).to_numpy()
+                same &= v == v[-1]
             whole = int(np.argmax(same))  # sorted, so the last run is the tail
             if whole:
                 yield solve(table.slice(0, whole))
@@ -221,14 +252,36 @@ def _compare(percent: int, forest: bool):
 
 
 def candidates(entries: DataFrame, classes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(a, b): pairs of class ids with a < b that pass every filter. classes: cid, gid, comp, bits."""
+    """(a, b, d): pairs of class ids with a < b that pass every filter, and their signatures' distance. classes: cid, gid, comp, bits."""
     rows = entries.join(classes.select("gid", "cid", "comp", "bits"), "gid")
     size = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), size).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), size - 1)))
     rows = rows.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other"))
-    keys = ["own", "token", "lo", "hi"]
-    rows = rows.select(*keys, "block", "gid", "n", "pos", "cid", "comp", "bits").repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(_compare(percent, forest), "a long, b long").distinct()
+    rows = rows.select(*COLUMNS).repartition(*KEYS).sortWithinPartitions(*KEYS)
+    return rows.mapInArrow(_compare(percent, forest), "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Drops pairs of large sets that their wide signatures exclude; d becomes the distance of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "d", "n", "m")}
+            need = (percent * (t["n"] + t["m"]) + 99 + percent) // (100 + percent)
+            d = np.array([old if x is None or y is None else _wide_distance(x, y) for old, x, y in zip(t["d"], batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)], dtype=np.int64)
+            keep = d <= t["n"] + t["m"] - 2 * need
+            yield pa.RecordBatch.from_arrays([pa.array(t["a"][keep]), pa.array(t["b"][keep]), pa.array(d[keep])], names=["a", "b", "d"])
+
+    x = classes.select(F.col("cid").alias("a"), "n", F.col("wide").alias("x"))
+    y = classes.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "d", "n", "m", "x", "y").mapInArrow(run, "a long, b long, d long")
+
+
+def nearest(pairs: DataFrame, by: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """Of pairs with d, those that are nearest for one of their ends."""
+    best = F.min(F.struct("d", "a", "b")).alias("p")
+    ends = pairs.groupBy(by[0]).agg(best).select("p").union(pairs.groupBy(by[1]).agg(best).select("p"))
+    return ends.select("p.a", "p.b").distinct()
 
 
 def _verify(percent: int):
@@ -247,7 +300,7 @@ def _verify(percent: int):
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs that are links, by their full sets, which are made again from one text of each class."""
-    pairs = scratch.table(pairs, "pairs")
+    pairs = scratch.table(pairs.select("a", "b"), "pairs")
     needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     ids = scratch.table(classes.join(needed, "cid", "left_semi").select(F.col("rep").alias("_rep")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
@@ -276,10 +329,10 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, perc
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for each row of docs."""
-    with Scratch(spark, "jaccard") as scratch:
+    with Scratch(spark, "jaccard") as scratch, arrow_rows(spark, ROWS):
         sets = signatures(docs, k, percent, scratch)
         some = sets.where("n > 0")
-        classes = some.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+        classes = some.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
         classes = scratch.table(classes, "classes")
         groups = classes.groupBy("gid").agg(F.count("*").alias("size"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         groups = scratch.table(groups, "groups")
@@ -289,16 +342,31 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
         inner = groups.where("size > 1").select(F.col("gid").alias("token"), "gid", "n", F.lit(0).cast("long").alias("pos"), F.col("size").alias("members"), F.lit(1).alias("own"))
         entries = scratch.table(entries.unionByName(inner), "entries")
         narrow = classes.select("gid", "cid", "bits")
-        first = scratch.table(candidates(entries, narrow.withColumn("comp", F.col("cid")), percent, forest=True), "forest")
-        links = scratch.table(verified(docs, first, classes, k, percent, scratch), "links")
-        parts = scratch.table(connected_components(links, scratch), "parts")
-        labelled = narrow.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+        first = candidates(entries, narrow.withColumn("comp", F.col("cid")), percent, forest=True)
+        first = scratch.table(near_enough(first, classes, percent), "forest")
+
+        def components(links: DataFrame) -> DataFrame:
+            return scratch.table(connected_components(links, scratch), "parts")
+
+        def between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+            """pairs whose ends are in different components x < y."""
+            x = parts.select(F.col("node").alias("a"), F.col("component").alias("x"))
+            y = parts.select(F.col("node").alias("b"), F.col("component").alias("y"))
+            out = pairs.join(x, "a", "left").join(y, "b", "left").withColumn("x", F.coalesce("x", "a")).withColumn("y", F.coalesce("y", "b"))
+            return out.where("x <> y").select("a", "b", "d", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+        tried = scratch.table(nearest(first), "tried")
+        links = scratch.table(verified(docs, tried, classes, k, percent, scratch), "links")
+        open_pairs = between(first.join(tried, ["a", "b"], "left_anti"), components(links))
+        again = scratch.table(open_pairs.groupBy("x", "y").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b"), "again")
+        links = scratch.table(links.union(verified(docs, again, classes, k, percent, scratch)), "links")
+        labelled = narrow.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
         labelled = scratch.table(labelled, "labelled")
         several = entries.join(labelled.select("gid", "comp"), "gid").groupBy("own", "token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("own", "token")
         second = candidates(entries.join(several, ["own", "token"], "left_semi"), labelled, percent, forest=False)
-        second = second.join(first, ["a", "b"], "left_anti")  # those are known
+        second = near_enough(second.join(tried.union(again), ["a", "b"], "left_anti"), classes, percent)
         more = scratch.table(verified(docs, second, classes, k, percent, scratch), "more")
-        parts = scratch.table(connected_components(links.union(more), scratch), "parts")
+        parts = components(links.union(more))
         whole = classes.select("cid", "rep").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
         smallest = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
         of = whole.join(smallest, "comp").select("cid", "component_id")

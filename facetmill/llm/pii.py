@@ -144,11 +144,9 @@ def telling_terms(docs: DataFrame, scratch: Scratch, disclosure: float = DISCLOS
         return both.select("entity", "term", F.lit(1.0).alias("share")).limit(0)
     total = texts.select("_h").distinct().count()
     words = None if count > BROADCAST_ROWS else {r.term for r in wanted.toLocalIterator()}
-    # In how many distinct texts each wanted term occurs: by (term, text), so copies fall together.
-    found = texts.select("text", "_h").mapInArrow(_holders(words), "term string, h long")
-    if words is None:
-        found = found.join(wanted, "term", "left_semi")
-    seen = found.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    # One row a text with its wanted terms, one of each text, then counts that are summed before the shuffle.
+    found = texts.select("text", "_h").mapInArrow(_holders(words), "h long, terms array<string>").dropDuplicates(["h"])
+    seen = found.select("terms").mapInArrow(_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     out = both.join(seen, "term").join(entities, "entity")
     pmi = F.log(F.col("n") * float(total) / (F.col("n_term") * F.col("n_entity")))
     information = F.log(float(total) / F.col("n_entity"))
@@ -157,22 +155,34 @@ def telling_terms(docs: DataFrame, scratch: Scratch, disclosure: float = DISCLOS
 
 
 def _holders(words: set[str] | None):
+    """(h, terms): the wanted terms of each text that has any; without words, all of its terms."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            term, h = [], []
+            h, terms = [], []
             for text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = set(_WORD.findall(text.lower()))
                 found = found if words is None else found & words
-                term.extend(found)
-                h.extend([key] * len(found))
-                if len(term) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(h, pa.int64())], names=["term", "h"])
-                    term, h = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(h, pa.int64())], names=["term", "h"])
+                if found:
+                    h.append(key)
+                    terms.append(list(found))
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(terms, pa.list_(pa.string()))], names=["h", "terms"])
 
     return run
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows hold each term, summed within the task as far as memory goes."""
+    n: Counter = Counter()
+    for b in batches:
+        for x in b.column(0).flatten().value_counts().to_pylist():
+            n[x["values"]] += x["counts"]
+        if len(n) > 300_000:
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+            n.clear()
+    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+
+
 def all_spans(text: str | None, telling: dict[int, dict[str, float]]) -> tuple[list[Span], list[Span], dict[Span, float]]:
     """Base spans, all spans, and the share of each term span."""
     base = base_spans(text)
