@@ -36,9 +36,9 @@ def record_json(rows: DataFrame) -> DataFrame:
 
 def file_plan(clusters: DataFrame, members: DataFrame, json: DataFrame, most: int = MAX_CHARS) -> DataFrame:
     """cluster_id, file_idx. Records' sizes are summed by cluster first; the tree's outline is packed by the driver."""
-    sizes = members.join(json.select("record_id", F.length("json").alias("n")), "record_id").groupBy("cluster_id").agg(F.sum("n").alias("n"))
+    sizes = members.join(json.select("record_id", F.length("json").alias("_json")), "record_id").groupBy("cluster_id").agg(F.sum("_json").alias("_chars"))
     own = F.length(F.concat_ws("", "name", "summary")) + 60
-    rows = clusters.join(sizes, "cluster_id", "left").select("cluster_id", "parent_id", (own + F.coalesce("n", F.lit(0))).cast("long").alias("size")).collect()
+    rows = clusters.join(sizes, "cluster_id", "left").select("cluster_id", "parent_id", (own + F.coalesce("_chars", F.lit(0))).cast("long").alias("size")).collect()
     files = packed([(r.cluster_id, r.parent_id, r.size) for r in rows], most)
     return clusters.sparkSession.createDataFrame(sorted(files.items()) or [], "cluster_id int, file_idx long")
 
