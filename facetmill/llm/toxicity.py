@@ -209,22 +209,23 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     return Model(vocabulary, logistic(np.column_stack([votes, np.log1p(votes.sum(1))]), posterior))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with ``score``; the text is the only input."""
+def scored(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
+    """docs with the score in a column; the text is the only input."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(text: pd.Series) -> pd.Series:
         m = shared.value
         return pd.Series([m.score(terms(t)) for t in text], dtype="float64")
 
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text")))
+    return docs.withColumn(to, F.pandas_udf(run, "double")(F.col("text")))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score threshold or more."""
-    columns = docs.columns
-    kept = docs.select(F.struct("*").alias("_row"), "text")
-    return scored(kept, learn(spark, docs, labels)).where(F.col("score") < threshold).select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
+    to = "_score"
+    while to in docs.columns:
+        to += "_"
+    return scored(docs, learn(spark, docs, labels), to).where(F.col(to) < threshold).drop(to)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
