@@ -259,8 +259,11 @@ def with_spans(spark: SparkSession, docs: DataFrame, clean: bool = False) -> Dat
         return docs.withColumn("_pii", _finder(known, clean)(F.col("text")))
     pairs = docs.select("text").mapInArrow(_contexts, "text_id long, entity long, term string").where("term = ''").select("text_id", "entity").distinct()
     of = pairs.join(telling, "entity").groupBy("text_id").agg(F.collect_list(F.struct("entity", "term", "share")).alias("_found"))
-    key = F.pandas_udf(lambda s: s.map(lambda t: _hash(t) if t else None), "long")
-    out = docs.withColumn("_t", key(F.col("text"))).join(of, F.col("_t") == F.col("text_id"), "left")
+
+    def keys(text: pd.Series) -> pd.Series:
+        return pd.Series([_hash(t) if t else None for t in text], dtype="Int64")  # a float column would round the hashes
+
+    out = docs.withColumn("_t", F.pandas_udf(keys, "long")(F.col("text"))).join(of, F.col("_t") == F.col("text_id"), "left")
     return out.withColumn("_pii", _finder(None, clean)(F.col("text"), F.col("_found"))).select(*[docs[c] for c in docs.columns], "_pii")
 
 
