@@ -35,7 +35,7 @@ GRAM = 8
 BITMAP_BITS = 1 << 26
 HOT = 4096
 LEFT = 21
-CHUNK = 40_000  # suffixes compared at once
+CHUNK = 10_000  # suffixes compared at once
 _U = np.uint64
 
 
@@ -125,7 +125,7 @@ def _suffixes(span: int, gram: int, bitmap):
                 rows[4].append(np.minimum(at, back) * 256 + np.minimum(len(words) - at, span))
                 rows[5].append(short[at[:, None] + np.arange(width)])
                 size += len(at)
-                if size > 50_000:
+                if size > 10_000:
                     yield out(rows)
                     rows, size = [[] for _ in range(6)], 0
             yield out(rows)
