@@ -8,7 +8,7 @@ the corpus), the rest by hash; it decides cost only, never results.
 1. Documents with equal sets form a class; classes with equal size and prefix form a group.
 2. The groups' prefix shingles make an inverted index. Entries of one shingle are compared group by
    group (size and position filters), then the pairs of groups that remain are expanded to classes
-   and filtered by a 1024-bit parity signature, a strict bound: two sets that differ in d shingles
+   and filtered by a 2048-bit parity signature, a strict bound: two sets that differ in d shingles
    have signatures that differ in at most d bits.
    Large sets are held against each other once more by signatures that grow with them.
 3. First pass: of the pairs left in one shingle's entries, a spanning forest of the nearest is kept;
@@ -42,8 +42,8 @@ HEAVY_MOST = 65_536  # entries of the list that orders frequent shingles last; i
 HEAVY_LEAST = 8
 BLOCK = 1024
 BROADCAST_IDS = 400_000  # about 10 MB; beyond it the same join is shuffled
-SIGNATURE_BYTES = 128
-WIDE_FROM = 800
+SIGNATURE_BYTES = 256
+WIDE_FROM = 1600
 SHORT_RUN = 24  # entries of one shingle that are compared by shifts, many shingles at once
 ROWS = 2_000  # of an Arrow batch
 _U = np.uint64
@@ -57,7 +57,7 @@ def prefix_sizes(n, percent: int):
 
 
 def _signature(s: np.ndarray) -> bytes:
-    bits = np.bincount((mix(s) >> _U(54)).astype(np.int64), minlength=8 * SIGNATURE_BYTES) & 1
+    bits = np.bincount((mix(s) >> _U(53)).astype(np.int64), minlength=8 * SIGNATURE_BYTES) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
