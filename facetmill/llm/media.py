@@ -204,6 +204,9 @@ def copies(spark: SparkSession, media: DataFrame, consensus: int = CONSENSUS) ->
         tables = corners.withColumn("band", F.explode(F.array(*[F.lit(i) for i in range(BANDS)]))).withColumn("word", F.conv(F.hex(word), 16, 10).cast("long"))
         keys = ["band", "word", "desc", "cid"]
         matches = tables.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_match, MATCH)
+        matches = scratch.table(matches.dropDuplicates(["a", "b", "corner", "dy", "dx"]), "matches")
+        enough = matches.select("a", "b", "corner").distinct().groupBy("a", "b").count().where(F.col("count") >= consensus).select("a", "b")
+        matches = matches.join(enough, ["a", "b"], "left_semi")
         # Votes in cells, twice a dimension so that neighbours over an edge meet as well.
         cells = lambda v, size: F.array(F.floor(v / size), F.floor(v / size + 0.5) + F.lit(1 << 20))
         votes = matches.select("a", "b", "corner", F.round("zoom").alias("zoom"), F.explode(cells(F.col("turn"), math.pi / 6)).alias("turn"), "dy", "dx")
