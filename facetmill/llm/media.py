@@ -3,8 +3,9 @@
 Per image and scale, the strongest Harris corners are kept; each gets the orientation of its
 patch's intensity centroid and BITS binary brightness tests, turned by that orientation. A descriptor is
 cut in BANDS words, which are the keys of Hamming tables: descriptors that differ in fewer bits than
-there are bands have a word in common. Entries of a table are sorted by word, then descriptor, and each
-is matched with the next REACH, so a common word costs time in proportion to its entries. Matches of two
+there are bands have a word in common. All entries of a word are compared. Images are cut in blocks by a hash,
+one task a pair of blocks holds all corners of both, so no partner is missed, a common word is shared out over
+the pairs of blocks, and only links leave a task; a corner travels once a block. Matches of two
 images vote for the turn, zoom and shift between them; CONSENSUS different corners that agree make a link.
 Images with equal pixels are one class beforehand, so groups of exact copies are never matched.
 
@@ -37,9 +38,12 @@ MARGIN = 9
 BITS, BANDS = 256, 8
 TURNS = 24
 NEAR = 48  # bits that matched descriptors may differ in
-REACH = 4
 CONSENSUS = 4
+TURN_CELL = math.pi / 6
 SHIFT_CELL = 12.0
+BLOCK = 250_000  # corners of a block of images; two of them are in a task
+SPREAD = 5  # blocks that smaller tables are cut in, for work in parallel
+ROOM = 1_000_000  # entries of equal words compared at once
 
 
 def _pattern() -> np.ndarray:
@@ -157,30 +161,122 @@ def _corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=["cid", "corner", "y", "x", "scale", "angle", "desc"])
 
 
-MATCH = "a long, b long, corner int, turn double, zoom double, dy double, dx double"
-
-
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near descriptors of different images among the next REACH of each entry, as the transform they imply."""
-    for b in batches:
-        if not b.num_rows:
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each length, one after the other."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _agreeing(pair: np.ndarray, corner: np.ndarray, zoom: np.ndarray, turn: np.ndarray, dy: np.ndarray, dx: np.ndarray, consensus: int) -> np.ndarray:
+    """Pairs with consensus different corners in one cell of the transforms. turn, dy and dx are in half cells: votes
+    are counted in cells, twice a dimension so that neighbours over an edge meet as well."""
+    linked = np.empty(0, np.int64)
+    for k in range(8):
+        t, y, x = (turn + (k & 1)) // 2, (dy + (k >> 1 & 1)) // 2, (dx + (k >> 2)) // 2
+        key, room = np.zeros(len(pair), np.int64), 1
+        for v in (pair, zoom, t, y, x, corner):
+            low, size = (int(v.min()), int(v.max()) - int(v.min()) + 1) if len(v) else (0, 1)
+            if room * size >= 1 << 62:
+                key = np.unique(key, return_inverse=True)[1]
+                room = len(key) + 1
+            if v is corner:
+                cells = size
+            key, room = key * size + (v - low), room * size
+        by = np.argsort(key)
+        key = key[by]
+        keep = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
+        by, cell = by[keep], key[keep] // cells
+        far = consensus - 1
+        full = np.flatnonzero(cell[far:] == cell[: max(0, len(cell) - far)])
+        found = np.unique(pair[by[full]])
+        if len(found):
+            linked = np.concatenate((linked, found))
+            rest = ~np.isin(pair, found)
+            pair, corner, zoom, turn, dy, dx = (v[rest] for v in (pair, corner, zoom, turn, dy, dx))
+    return linked
+
+
+def _linked(left: dict[str, np.ndarray], right: dict[str, np.ndarray], consensus: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked classes (a, b) between corners of two sides, or within one side given twice. Rows are sorted by cid."""
+    if not len(left["cid"]) or not len(right["cid"]):
+        return
+    same = left is right
+    orders = [np.argsort(right["word"][:, k], kind="stable") for k in range(BANDS)]
+    low, count = np.empty((BANDS, len(left["cid"])), np.int64), np.empty((BANDS, len(left["cid"])), np.int64)
+    for k, o in enumerate(orders):
+        w = right["word"][o, k]
+        low[k] = np.searchsorted(w, left["word"][:, k])
+        count[k] = np.searchsorted(w, left["word"][:, k], "right") - low[k]
+    total = np.concatenate(([0], np.cumsum(count.sum(axis=0))))
+    ids, image = np.unique(right["cid"], return_inverse=True)
+    starts = np.append(np.flatnonzero(np.concatenate(([True], left["cid"][1:] != left["cid"][:-1]))), len(left["cid"]))
+    at = 0
+    while at < len(starts) - 1:
+        end = max(at + 1, int(np.searchsorted(total[starts], total[starts[at]] + ROOM, "right")) - 1)
+        first, last = starts[at], starts[end]
+        if end == at + 1 and total[last] - total[first] > ROOM and len(ids) > 1:
+            one = {k: v[first:last] for k, v in left.items()}
+            for half in (right["cid"] < ids[len(ids) // 2], right["cid"] >= ids[len(ids) // 2]):
+                other = {k: v[half & (right["cid"] > one["cid"][0]) if same else half] for k, v in right.items()}
+                yield from _linked(one, other, consensus)
+            at = end
             continue
-        band, word, cid, corner = (b.column(c).to_numpy() for c in ("band", "word", "cid", "corner"))
-        y, x, s, t = (b.column(c).to_numpy() for c in ("y", "x", "scale", "angle"))
-        desc = np.frombuffer(b"".join(b.column("desc").to_pylist()), np.uint64).reshape(b.num_rows, -1)
-        left, right = [], []
-        for shift in range(1, REACH + 1):
-            if shift >= b.num_rows:
-                break
-            i = np.flatnonzero((band[:-shift] == band[shift:]) & (word[:-shift] == word[shift:]) & (cid[:-shift] != cid[shift:]))
-            i = i[np.bitwise_count(desc[i] ^ desc[i + shift]).sum(axis=1) <= NEAR]
-            left.append(i), right.append(i + shift)
-        i, j = np.concatenate(left) if left else np.empty(0, int), np.concatenate(right) if right else np.empty(0, int)
-        swap = cid[i] > cid[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        turn, zoom = (t[j] - t[i]) % (2 * np.pi), np.log2(s[j] / s[i])
-        c, d = np.cos(turn) * s[j] / s[i], np.sin(turn) * s[j] / s[i]
-        yield pa.RecordBatch.from_arrays([pa.array(cid[i]), pa.array(cid[j]), pa.array(corner[i]), pa.array(turn), pa.array(zoom), pa.array(y[j] - (d * x[i] + c * y[i])), pa.array(x[j] - (c * x[i] - d * y[i]))], names=["a", "b", "corner", "turn", "zoom", "dy", "dx"])
+        names = np.unique(left["cid"][first:last])
+        votes: list[np.ndarray] = []
+        row = first
+        while row < last:
+            stop = max(row + 1, int(np.searchsorted(total, total[row] + ROOM, "right")) - 1)
+            stop = min(stop, last)
+            for k, o in enumerate(orders):
+                i, j = np.repeat(np.arange(row, stop), count[k, row:stop]), o[_ranges(low[k, row:stop], count[k, row:stop])]
+                ok = left["cid"][i] < right["cid"][j] if same else left["cid"][i] != right["cid"][j]
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(left["desc"][i] ^ right["desc"][j]).sum(axis=1) <= NEAR
+                for before in range(k):  # a pair counts in the first table that it meets in
+                    ok &= left["word"][i, before] != right["word"][j, before]
+                i, j = i[ok], j[ok]
+                swap = left["cid"][i] > right["cid"][j]
+                (y, v), (x, u), (s, z), (t, r), (n, m) = ((np.where(swap, right[c][j], left[c][i]), np.where(swap, left[c][i], right[c][j])) for c in ("y", "x", "scale", "angle", "corner"))
+                turn, zoom = (r - t) % (2 * np.pi), np.log2(z / s)
+                c, d = np.cos(turn) * z / s, np.sin(turn) * z / s
+                half = lambda a, size: np.floor(a / size * 2).astype(np.int64)
+                pair = np.searchsorted(names, left["cid"][i]) * len(ids) + image[j]
+                votes.append(np.stack((pair, n, np.rint(zoom).astype(np.int64), half(turn, TURN_CELL), half(v - (d * x + c * y), SHIFT_CELL), half(u - (c * x - d * y), SHIFT_CELL))))
+            row = stop
+            if row < last:  # one pair of large images
+                votes = [np.unique(np.concatenate(votes, axis=1), axis=1)]
+        v = np.concatenate(votes, axis=1)
+        v = v[:, (np.bincount(v[0]) >= consensus)[v[0]]] if v.shape[1] else v
+        pair = _agreeing(*v, consensus)
+        a, b = names[pair // len(ids)], ids[pair % len(ids)]
+        yield np.minimum(a, b), np.maximum(a, b)
+        at = end
+
+
+def _blocks(consensus: int):
+    """Links of one pair of blocks; the corners of the pair are one table."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cid")
+        rows = {c: t.column(c).to_numpy() for c in ("block", "cid", "corner", "y", "x", "scale", "angle")}
+        raw = np.frombuffer(b"".join(t.column("desc").to_pylist()), np.uint8).reshape(t.num_rows, BITS // 8)
+        rows |= {"desc": raw.view(np.uint64), "word": raw.view(f"u{BITS // 8 // BANDS}")}
+        low, high = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        left = {k: v[rows["block"] == low] for k, v in rows.items()}
+        right = left if low == high else {k: v[rows["block"] == high] for k, v in rows.items()}
+        found = list(_linked(left, right, consensus))
+        cat = lambda k: pa.array(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64), pa.int64())
+        return pa.table({"a": cat(0), "b": cat(1)})
+
+    return run
+
+
+def linked(corners: DataFrame, consensus: int = CONSENSUS, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: classes of which consensus corners match in one transform. corners is a written table."""
+    n = corners.count()
+    blocks = max(1, math.ceil(n / block), min(SPREAD, math.ceil(n / (block / 10))))
+    rows = corners.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other")).drop("_other")
+    return rows.groupBy("lo", "hi").applyInArrow(_blocks(consensus), "a long, b long")
 
 
 def copies(spark: SparkSession, media: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
@@ -199,20 +295,7 @@ def copies(spark: SparkSession, media: DataFrame, consensus: int = CONSENSUS) ->
         reps = some.groupBy("cid").agg(F.min("media_id").alias("rep"))
         one = some.join(reps, "cid").where("media_id = rep").dropDuplicates(["cid"])
         corners = scratch.table(one.select("cid", "width", "height", "pixels").mapInArrow(_corners, CORNER), "corners")
-        step = BITS // 8 // BANDS
-        word = F.expr(f"substring(desc, band * {step} + 1, {step})")
-        tables = corners.withColumn("band", F.explode(F.array(*[F.lit(i) for i in range(BANDS)]))).withColumn("word", F.conv(F.hex(word), 16, 10).cast("long"))
-        keys = ["band", "word", "desc", "cid"]
-        matches = tables.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_match, MATCH)
-        matches = scratch.table(matches.dropDuplicates(["a", "b", "corner", "dy", "dx"]), "matches")
-        enough = matches.select("a", "b", "corner").distinct().groupBy("a", "b").count().where(F.col("count") >= consensus).select("a", "b")
-        matches = matches.join(enough, ["a", "b"], "left_semi")
-        # Votes in cells, twice a dimension so that neighbours over an edge meet as well.
-        cells = lambda v, size: F.array(F.floor(v / size), F.floor(v / size + 0.5) + F.lit(1 << 20))
-        votes = matches.select("a", "b", "corner", F.round("zoom").alias("zoom"), F.explode(cells(F.col("turn"), math.pi / 6)).alias("turn"), "dy", "dx")
-        votes = votes.withColumn("dy", F.explode(cells(F.col("dy"), SHIFT_CELL))).withColumn("dx", F.explode(cells(F.col("dx"), SHIFT_CELL)))
-        agreed = votes.distinct().groupBy("a", "b", "zoom", "turn", "dy", "dx").count().where(F.col("count") >= consensus)
-        links = scratch.table(agreed.select("a", "b").distinct(), "links")
+        links = scratch.table(linked(corners, consensus), "links")
         parts = connected_components(links, scratch)
         degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("n_links"))
         whole = reps.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
