@@ -39,7 +39,8 @@ BITS, BANDS = 256, 8
 TURNS = 24
 NEAR = 48  # bits that matched descriptors may differ in
 CONSENSUS = 4
-TURN_CELL = math.pi / 6
+TURN_CELLS = 12
+TURN_CELL = 2 * math.pi / TURN_CELLS
 SHIFT_CELL = 12.0
 BLOCK = 250_000  # corners of a block of images; two of them are in a task
 SPREAD = 5  # blocks that smaller tables are cut in, for work in parallel
@@ -168,10 +169,10 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _agreeing(pair: np.ndarray, corner: np.ndarray, zoom: np.ndarray, turn: np.ndarray, dy: np.ndarray, dx: np.ndarray, consensus: int) -> np.ndarray:
     """Pairs with consensus different corners in one cell of the transforms. turn, dy and dx are in half cells: votes
-    are counted in cells, twice a dimension so that neighbours over an edge meet as well."""
+    are counted in cells, twice a dimension so that neighbours over an edge meet as well; the cells of the turn close the circle."""
     linked = np.empty(0, np.int64)
     for k in range(8):
-        t, y, x = (turn + (k & 1)) // 2, (dy + (k >> 1 & 1)) // 2, (dx + (k >> 2)) // 2
+        t, y, x = (turn + (k & 1)) // 2 % TURN_CELLS, (dy + (k >> 1 & 1)) // 2, (dx + (k >> 2)) // 2
         key, room = np.zeros(len(pair), np.int64), 1
         for v in (pair, zoom, t, y, x, corner):
             low, size = (int(v.min()), int(v.max()) - int(v.min()) + 1) if len(v) else (0, 1)

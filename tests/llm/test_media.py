@@ -75,3 +75,10 @@ def test_links_equal_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(media, "ROOM", room)
         got = media._blocks(media.CONSENSUS)(side)
         assert set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == want
+
+
+def test_small_turns_of_both_signs_agree():
+    turn = np.array([0.02, 0.01, -0.02, -0.01]) % (2 * np.pi)
+    same = np.zeros(4, np.int64)
+    found = media._agreeing(same, np.arange(4), same, np.floor(turn / media.TURN_CELL * 2).astype(np.int64), same, same, 4)
+    assert found.tolist() == [0]
