@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 
 from facetmill.llm import media
+from facetmill.sources.scratch import arrow_rows
 
 MEDIA = "media_id long, width int, height int, pixels binary"
 
@@ -82,3 +83,12 @@ def test_small_turns_of_both_signs_agree():
     same = np.zeros(4, np.int64)
     found = media._agreeing(same, np.arange(4), same, np.floor(turn / media.TURN_CELL * 2).astype(np.int64), same, same, 4)
     assert found.tolist() == [0]
+
+
+def test_links_do_not_depend_on_batches(spark, monkeypatch):
+    df = spark.createDataFrame([row(i, a) for i, a in enumerate(edits(3))], MEDIA)
+    found = []
+    for n in (1000, 3):
+        monkeypatch.setattr(media, "arrow_rows", lambda spark, rows, n=n: arrow_rows(spark, n))
+        found.append(sorted(tuple(r) for r in media.copies(spark, df).collect()))
+    assert found[0] == found[1] and any(r[2] for r in found[0])
