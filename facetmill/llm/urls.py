@@ -3,8 +3,9 @@
 URLs that the rules decide are the examples: one variable-order Markov model is counted on the
 allowed, one on the blocked. A model predicts each character from the longest context of up to ORDER
 characters that it keeps, smoothed by Witten-Bell interpolation down to a uniform base; contexts
-seen fewer than CONTEXT_LEAST times are left out, and of the rest the MODEL_MOST most frequent entries
-are kept, so a model's size is bounded. A url's score is the difference of the two log-likelihoods
+seen fewer than CONTEXT_LEAST times are left out, all others are kept whole, so models grow with the
+examples. Models of up to BROADCAST_ROWS entries are sent to all tasks, larger ones stay a table that
+the urls' contexts are joined with. A url's score is the difference of the two log-likelihoods
 over its length. The threshold is calibrated on a fifth of the examples that the models did not see: the
 cut of the score's histogram with the greatest mean of both classes' hit rates.
 
@@ -24,14 +25,17 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetmill.sources.scratch import Scratch
+
 #: Fixed by the contract: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 ORDER = 5
 CONTEXT_LEAST = 4
-MODEL_MOST = 60_000
+BROADCAST_ROWS = 300_000  # entries of both models, about 60 MB; beyond it they are joined
 ALPHABET = 4096.0
 START = "\x02"
 END = "\x03"
@@ -57,7 +61,7 @@ def matched(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 @dataclass
 class Markov:
-    """log p of a string by counts of characters after contexts."""
+    """log p of a string by counts of characters after contexts: n of all, kinds of different ones, = and the character of each."""
 
     after: dict[str, dict[str, int]]
 
@@ -70,7 +74,7 @@ class Markov:
                 if seen is None:
                     break
                 kinds, n = seen["kinds"], seen["n"]
-                p = (seen.get(c, 0) + kinds * p) / (n + kinds)
+                p = (seen.get("=" + c, 0) + kinds * p) / (n + kinds)
             total += math.log(p)
         return total
 
@@ -96,20 +100,61 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def train(examples: DataFrame) -> dict[bool, Markov]:
-    """examples: url, accepted."""
+def entries(examples: DataFrame) -> DataFrame:
+    """(accepted, context, next, n, total, kinds): both models, from examples (url, accepted)."""
     grams = examples.mapInArrow(_grams, "accepted boolean, context string, next string, n long")
     grams = grams.groupBy("accepted", "context", "next").agg(F.sum("n").alias("n"))
     whole = grams.groupBy("accepted", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= CONTEXT_LEAST)
-    kept = grams.join(whole, ["accepted", "context"])
-    models: dict[bool, Markov] = {}
-    for yes in (True, False):
-        after: dict[str, dict[str, int]] = {}
-        best = kept.where(F.col("accepted") == yes).orderBy(F.length("context") > 0, F.col("total").desc(), F.col("n").desc(), "context", "next").limit(MODEL_MOST)
-        for r in best.toLocalIterator():
-            after.setdefault(r.context, {"n": r.total, "kinds": r.kinds})[r.next] = r.n
-        models[yes] = Markov(after)
-    return models
+    return grams.join(whole, ["accepted", "context"])
+
+
+def train(examples: DataFrame) -> dict[bool, Markov]:
+    """Models in memory, from examples (url, accepted)."""
+    return loaded(entries(examples))
+
+
+def loaded(kept: DataFrame) -> dict[bool, Markov]:
+    models: dict[bool, dict[str, dict[str, int]]] = {True: {}, False: {}}
+    for r in kept.toLocalIterator():
+        models[r.accepted].setdefault(r.context, {"n": r.total, "kinds": r.kinds})["=" + r.next] = r.n
+    return {yes: Markov(after) for yes, after in models.items()}
+
+
+def _lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(url, i, k, context, next): each character of a url with each of its contexts."""
+    for b in batches:
+        for url in b.column(0).to_pylist():
+            s = START + url + END
+            for low in range(1, len(s), 10_000):
+                at = [(i, k) for i in range(low, min(low + 10_000, len(s))) for k in range(min(ORDER, i) + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([_hash(url)] * len(at), pa.int64()), pa.array([i for i, _ in at], pa.int32()), pa.array([k for _, k in at], pa.int32()), pa.array([s[i - k : i] for i, k in at], pa.string()), pa.array([s[i] for i, _ in at], pa.string())], names=["url_id", "i", "k", "context", "next"])
+
+
+def _hash(url: str) -> int:
+    return xxhash.xxh64_intdigest(url.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def joined_scores(kept: DataFrame, urls: DataFrame) -> DataFrame:
+    """(url, score): what ``ratio`` gives for each distinct url of (url), with the models as a table."""
+    urls = urls.where("url IS NOT NULL").select("url").distinct()
+    asked = urls.mapInArrow(_lookups, "url_id long, i int, k int, context string, next string")
+    seen = kept.select("accepted", "context", "next", "n")
+    whole = kept.select("accepted", "context", "total", "kinds").distinct()
+    both = F.explode(F.array(F.lit(True), F.lit(False))).alias("accepted")
+    every = asked.select("context", "next").distinct().select("context", "next", both)
+    known = every.join(whole, ["accepted", "context"]).join(seen, ["accepted", "context", "next"], "left")
+    known = known.groupBy("context", "next").agg(*[F.max(F.when(F.col("accepted") == yes, F.struct(F.coalesce("n", F.lit(0)).alias("n"), "total", "kinds"))).alias(name) for yes, name in ((True, "t"), (False, "f"))])
+    rows = asked.join(known, ["context", "next"], "left").groupBy("url_id", "i").agg(F.array_sort(F.collect_list(F.struct("k", "t", "f"))).alias("c"))
+
+    def log(name: str) -> Column:
+        steps = F.filter(F.col("c"), lambda x: x[name].isNotNull())
+        return F.log(F.aggregate(steps, F.lit(1.0 / ALPHABET), lambda p, x: (x[name]["n"] + x[name]["kinds"] * p) / (x[name]["total"] + x[name]["kinds"])))
+
+    rows = rows.select("url_id", "i", log("t").alias("t"), log("f").alias("f")).groupBy("url_id").agg(F.array_sort(F.collect_list(F.struct("i", "t", "f"))).alias("c"))
+    total = lambda name: F.aggregate(F.col("c"), F.lit(0.0), lambda s, x: s + x[name])
+    scores = rows.select("url_id", ((total("t") - total("f")) / F.size("c")).alias("score"))
+    own = F.pandas_udf(lambda u: u.map(_hash), "long")
+    return urls.withColumn("url_id", own("url")).join(scores, "url_id").select("url", "score")
 
 
 def ratio(models: dict[bool, Markov], url: str | None) -> float:
@@ -149,15 +194,25 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     text = F.when(F.instr("url", "://") > 0, F.concat("host", F.substring(F.col("url"), F.instr("url", "://") + 3 + F.length("host"), F.length("url"))))
     examples = known.where("rule IS NOT NULL").select(text.alias("url"), (F.col("said") == "allow").alias("accepted"))
     apart = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    models = train(examples.where(~apart))
-    shared = pages.sparkSession.sparkContext.broadcast(models)
-
-    def run(urls: pd.Series) -> pd.Series:
-        return pd.Series([ratio(shared.value, u) for u in urls], dtype="float64")
-
-    score = F.pandas_udf(run, "double")
-    cut = calibrate(examples.where(apart).select("accepted", score("url").alias("score")))
-    open_ = known.withColumn("score", F.when(F.col("rule").isNull(), score(F.when(F.col("rule").isNull(), text))))
+    with Scratch(pages.sparkSession, "urls") as scratch:
+        kept = scratch.table(entries(examples.where(~apart)), "model")
+        sizes = {r.accepted: r["count"] for r in kept.groupBy("accepted").count().collect()}
+        if sum(sizes.values()) <= BROADCAST_ROWS or len(sizes) < 2:
+            models = loaded(kept) if len(sizes) == 2 else {True: Markov({}), False: Markov({})}
+            shared = pages.sparkSession.sparkContext.broadcast(models)
+
+            def run(urls: pd.Series) -> pd.Series:
+                return pd.Series([ratio(shared.value, u) for u in urls], dtype="float64")
+
+            score = F.pandas_udf(run, "double")
+            cut = calibrate(examples.where(apart).select("accepted", score("url").alias("score")))
+            open_ = known.withColumn("score", F.when(F.col("rule").isNull(), score(F.when(F.col("rule").isNull(), text))))
+        else:
+            held, rest = examples.where(apart), known.where("rule IS NULL").select(text.alias("url"))
+            scores = scratch.keep(joined_scores(kept, held.select("url").union(rest)), "scores")
+            cut = calibrate(held.join(scores, "url").select("accepted", "score"))
+            found = known.withColumn("_text", F.when(F.col("rule").isNull(), text)).join(scores.withColumnRenamed("url", "_text"), "_text", "left")
+            open_ = found.withColumn("score", F.when(F.col("rule").isNull(), F.coalesce("score", F.lit(0.0))))
     decided = F.when(F.col("rule").isNotNull(), F.col("said")).when(F.col("score") >= cut, "allow").otherwise("block")
     return open_.select("page_id", "host", "path", "rule", decided.alias("verdict"), "score")
 
