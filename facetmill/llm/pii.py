@@ -3,10 +3,10 @@
 Four patterns give the base spans (email, ip, card, phone), leftmost and non-overlapping per kind;
 matches that fail their test are dropped without another try. Each distinct value found so is a
 protected entity. Over the whole corpus the method counts, by distinct texts, in how many texts an
-entity e occurs, in how many a term t occurs, and in how many t stands within WINDOW words of e.
+entity e occurs, in how many a term t occurs, and in how many both do, wherever they stand.
 With p from those counts, t discloses the share PMI(t; e) / IC(e) of e's information, where
 PMI = log p(t, e) / (p(t) p(e)) and IC = -log p(e). A term whose share is at least DISCLOSURE, seen
-with e in SUPPORT texts or more, is a span of kind ``term`` in the texts that hold e: removed when the
+with e in SUPPORT texts or more, is a span of kind ``term`` in every text that holds it: removed when the
 share is 1 (it stands with nothing else), else generalised to a placeholder of its shape.
 
 Edge cases: null and empty texts have no spans; copies of one text count once, so no group of
@@ -31,10 +31,9 @@ from pyspark.sql import functions as F
 from facetmill.sources.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 5
 DISCLOSURE = 0.8
 SUPPORT = 3
-BROADCAST_ROWS = 200_000  # of telling (entity, term) pairs, about 10 MB; beyond it they are joined by text
+BROADCAST_ROWS = 200_000  # of entities, terms or telling terms, about 10 MB; beyond it they are joined
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -101,42 +100,72 @@ def _entity(text: str, span: Span) -> int:
     return _hash(f"{k}:{value}")
 
 
-def _near(text: str, spans: list[Span]) -> Iterator[tuple[int, str]]:
-    """(entity, term) for the WINDOW words on either side of each span; words that touch a span don't count."""
-    taken = [(a, b) for _, a, b in spans]
-    for span in spans:
-        _, a, b = span
-        lo, hi = max(0, a - 40 * WINDOW), min(len(text), b + 40 * WINDOW)
-        before = [m for m in _WORD.finditer(text, lo, a)][-WINDOW:]
-        after = [m for m in _WORD.finditer(text, b, hi)][:WINDOW]
-        e = _entity(text, span)
-        for m in (*before, *after):
-            cut = m.start() == lo > 0 or m.end() == hi < len(text)
-            if len(m[0]) > 2 and not cut and not any(x < m.end() and m.start() < y for x, y in taken):
-                yield e, m[0].lower()
+def _terms(text: str, spans: list[Span]) -> set[str]:
+    """Different words of a text; words that touch a span don't count."""
+    taken, i, out = sorted((a, b) for _, a, b in spans), 0, set()
+    for m in _WORD.finditer(text):
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if m.end() - m.start() > 2 and not any(a < m.end() and m.start() < b for a, b in taken[i : i + len(KINDS)]):
+            out.add(m[0].lower())
+    return out
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text, entity and nearby term; the term is empty once per entity, and once for the text itself if it has any."""
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per text and entity."""
     for b in batches:
-        text_id, entity, term = [], [], []
+        text_id, entity = [], []
         for text in b.column(0).to_pylist():
             spans = base_spans(text)
-            if not spans:
-                continue
-            t = _hash(text)
-            rows = {(_entity(text, s), "") for s in spans} | set(_near(text, spans))
-            for e, w in rows:
-                text_id.append(t), entity.append(e), term.append(w)
-        yield pa.RecordBatch.from_arrays([pa.array(text_id, pa.int64()), pa.array(entity, pa.int64()), pa.array(term, pa.string())], names=["text_id", "entity", "term"])
+            found = {_entity(text, s) for s in spans}
+            text_id.extend([_hash(text)] * len(found) if found else ()), entity.extend(found)
+        yield pa.RecordBatch.from_arrays([pa.array(text_id, pa.int64()), pa.array(entity, pa.int64())], names=["text_id", "entity"])
+
+
+def _contexts(wanted: set[int] | None):
+    """(text_id, entities, terms) of each text that holds wanted entities; without wanted, any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: tuple[list, list, list] = ([], [], [])
+            for text in b.column(0).to_pylist():
+                spans = base_spans(text)
+                found = {_entity(text, s) for s in spans}
+                found = found if wanted is None else found & wanted
+                if found:
+                    for column, v in zip(rows, (_hash(text), list(found), list(_terms(text, spans))), strict=True):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.list_(pa.string()))], names=["text_id", "entities", "terms"])
+
+    return run
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many rows each entity and term stand, summed within the task as far as memory goes."""
+    n: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        b = pa.RecordBatch.from_arrays([pa.array([e for e, _ in n], pa.int64()), pa.array([t for _, t in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["entity", "term", "n"])
+        n.clear()
+        return b
+
+    for b in batches:
+        for entities, terms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for e in entities:
+                n.update((e, t) for t in terms)
+                if len(n) > 300_000:
+                    yield out()
+    yield out()
 
 
 def telling_terms(docs: DataFrame, scratch: Scratch, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(entity, term, share): the pairs whose disclosed share of the entity's information reaches the threshold."""
-    pairs = scratch.table(docs.select("text").mapInArrow(_contexts, "text_id long, entity long, term string").distinct(), "contexts")
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n"))
-    entities = both.where("term = ''").select("entity", F.col("n").alias("n_entity"))
-    both = scratch.table(both.where(f"term <> '' AND n >= {int(support)}"), "pairs")
+    entities = docs.select("text").mapInArrow(_entities, "text_id long, entity long").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = scratch.table(entities.where(F.col("n_entity") >= int(support)), "entities")  # a pair stands in no more texts than its entity
+    known = None if entities.count() > BROADCAST_ROWS else {r.entity for r in entities.toLocalIterator()}
+    contexts = docs.select("text").mapInArrow(_contexts(known), "text_id long, entities array<long>, terms array<string>").dropDuplicates(["text_id"])
+    both = contexts.select("entities", "terms").mapInArrow(_pairs, "entity long, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    both = scratch.table(both.where(F.col("n") >= int(support)), "pairs")
     wanted = scratch.table(both.select("term").distinct(), "terms")
     texts = docs.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("_h"))
     count = wanted.count()
@@ -161,7 +190,7 @@ def _holders(words: set[str] | None):
         for b in batches:
             h, terms = [], []
             for text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = set(_WORD.findall(text.lower()))
+                found = {w.lower() for w in _WORD.findall(text)}
                 found = found if words is None else found & words
                 if found:
                     h.append(key)
@@ -171,6 +200,15 @@ def _holders(words: set[str] | None):
     return run
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_id, term): the different words of each text."""
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            if text:
+                found = list({w.lower() for w in _WORD.findall(text)})
+                yield pa.RecordBatch.from_arrays([pa.array([_hash(text)] * len(found), pa.int64()), pa.array(found, pa.string())], names=["text_id", "term"])
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many rows hold each term, summed within the task as far as memory goes."""
     n: Counter = Counter()
@@ -183,14 +221,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
 
-def all_spans(text: str | None, telling: dict[int, dict[str, float]]) -> tuple[list[Span], list[Span], dict[Span, float]]:
-    """Base spans, all spans, and the share of each term span."""
+def all_spans(text: str | None, words: dict[str, float]) -> tuple[list[Span], list[Span], dict[Span, float]]:
+    """Base spans, all spans, and the share of each term span; words are the telling terms."""
     base = base_spans(text)
-    words: dict[str, float] = {}
-    for s in base:
-        for t, share in telling.get(_entity(text, s), {}).items():
-            words[t] = max(share, words.get(t, 0.0))
-    if not words:
+    if not words or not text:
         return base, base, {}
     extra: dict[Span, float] = {}
     taken = sorted((a, b) for _, a, b in base)
@@ -223,9 +257,9 @@ def redact(text: str | None, spans: list[Span], shares: dict[Span, float]) -> st
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, clean string"
 
 
-def _finder(telling: dict[int, dict[str, float]] | None, clean: bool):
-    def one(text: str | None, own: dict[int, dict[str, float]]) -> tuple:
-        base, spans, shares = all_spans(text, own)
+def _finder(telling: dict[str, float] | None, clean: bool):
+    def one(text: str | None, words: dict[str, float]) -> tuple:
+        base, spans, shares = all_spans(text, words)
         n = Counter(k for k, _, _ in base)
         return n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redact(text, spans, shares) if clean else None
 
@@ -237,13 +271,7 @@ def _finder(telling: dict[int, dict[str, float]] | None, clean: bool):
     else:
 
         def run(text: pd.Series, found: pd.Series) -> pd.DataFrame:
-            rows = []
-            for t, f in zip(text, found, strict=True):
-                own: dict[int, dict[str, float]] = {}
-                for x in f if f is not None else ():
-                    own.setdefault(x["entity"], {})[x["term"]] = x["share"]
-                rows.append(one(t, own))
-            return pd.DataFrame(rows, columns=columns)
+            return pd.DataFrame([one(t, {x["term"]: x["share"] for x in f} if f is not None else {}) for t, f in zip(text, found, strict=True)], columns=columns)
 
     return F.pandas_udf(run, FOUND)
 
@@ -251,14 +279,12 @@ def _finder(telling: dict[int, dict[str, float]] | None, clean: bool):
 def with_spans(spark: SparkSession, docs: DataFrame, clean: bool = False) -> DataFrame:
     """docs with ``_pii``: counts, digest and spans, and with clean the sanitised text."""
     scratch = Scratch(spark, "pii")
-    telling = scratch.table(telling_terms(docs, scratch), "telling")
+    telling = telling_terms(docs, scratch).groupBy("term").agg(F.max("share").alias("share"))
+    telling = scratch.table(telling, "telling")
     if telling.count() <= BROADCAST_ROWS:
-        known: dict[int, dict[str, float]] = {}
-        for r in telling.toLocalIterator():
-            known.setdefault(r.entity, {})[r.term] = r.share
-        return docs.withColumn("_pii", _finder(known, clean)(F.col("text")))
-    pairs = docs.select("text").mapInArrow(_contexts, "text_id long, entity long, term string").where("term = ''").select("text_id", "entity").distinct()
-    of = pairs.join(telling, "entity").groupBy("text_id").agg(F.collect_list(F.struct("entity", "term", "share")).alias("_found"))
+        return docs.withColumn("_pii", _finder({r.term: r.share for r in telling.toLocalIterator()}, clean)(F.col("text")))
+    pairs = docs.select("text").mapInArrow(_words, "text_id long, term string").distinct()
+    of = pairs.join(telling, "term").groupBy("text_id").agg(F.collect_list(F.struct("term", "share")).alias("_found"))
 
     def keys(text: pd.Series) -> pd.Series:
         return pd.Series([_hash(t) if t else None for t in text], dtype="Int64")  # a float column would round the hashes
