@@ -40,7 +40,7 @@ _U = np.uint64
 
 
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions that are smallest in some window of grams; of equal neighbours only the first and each window-th."""
+    """Positions that are smallest in some window of grams; of equal neighbours only the first, each window-th and the last."""
     n = len(grams)
     if n < window:
         return np.empty(0, np.int64)
@@ -57,7 +57,8 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
     chosen = sliding(padded, np.maximum) == grams
     same = np.concatenate(([False], grams[1:] == grams[:-1]))
     since = np.arange(n) - np.maximum.accumulate(np.where(same, 0, np.arange(n)))
-    return np.flatnonzero(chosen & (since % window == 0))
+    last = np.concatenate((~same[1:], [True]))
+    return np.flatnonzero(chosen & ((since % window == 0) | last))
 
 
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, int | None, np.ndarray]]:
