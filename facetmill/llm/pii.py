@@ -9,6 +9,10 @@ PMI = log p(t, e) / (p(t) p(e)) and IC = -log p(e). A term whose share is at lea
 with e in SUPPORT texts or more, is a span of kind ``term`` in every text that holds it: removed when the
 share is 1 (it stands with nothing else), else generalised to a placeholder of its shape.
 
+A term in over n(e) * (N / n(e)) ** (1 - DISCLOSURE) of N texts can't tell of e. The number of different
+texts that hold it in one task is a lower bound of its count, so the first pass lists the terms that are
+frequent in some task, and pairs that this strict bound excludes are never counted or shuffled.
+
 Edge cases: null and empty texts have no spans; copies of one text count once, so no group of
 copies makes its common words look telling; offsets are code points, ends exclusive; repeated rows get
 equal results; null ids stay null; an empty table gives no rows; further columns pass through
@@ -28,11 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetmill.llm.names import free
 from facetmill.sources.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE = 0.8
 SUPPORT = 3
+FREQUENT_MOST = 65_536  # terms on the list of frequent ones; it decides cost only
+FREQUENT_LEAST = 8
 BROADCAST_ROWS = 200_000  # of entities, terms or telling terms, about 10 MB; beyond it they are joined
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -106,72 +113,112 @@ def _terms(text: str, spans: list[Span]) -> set[str]:
     for m in _WORD.finditer(text):
         while i < len(taken) and taken[i][1] <= m.start():
             i += 1
-        if m.end() - m.start() > 2 and not any(a < m.end() and m.start() < b for a, b in taken[i : i + len(KINDS)]):
+        if not any(a < m.end() and m.start() < b for a, b in taken[i : i + len(KINDS)]):
             out.add(m[0].lower())
     return out
 
 
-def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text and entity."""
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per text and entity; and, for terms of many different texts of the task, how many these are."""
+    n: Counter = Counter()
+    seen: set[int] = set()
+
+    def out(text_id: list, entity: list) -> pa.RecordBatch:
+        terms = [(t, k) for t, k in n.items() if k >= FREQUENT_LEAST] if text_id is None else []
+        none = [None] * len(terms)
+        return pa.RecordBatch.from_arrays([pa.array(text_id or none, pa.int64()), pa.array(entity or none, pa.int64()), pa.array([t for t, _ in terms] or [None] * len(text_id or ()), pa.string()), pa.array([k for _, k in terms] or [None] * len(text_id or ()), pa.int64())], names=["text_id", "entity", "term", "n"])
+
     for b in batches:
         text_id, entity = [], []
         for text in b.column(0).to_pylist():
+            if not text or (key := _hash(text)) in seen:
+                continue
+            seen.add(key)
             spans = base_spans(text)
             found = {_entity(text, s) for s in spans}
-            text_id.extend([_hash(text)] * len(found) if found else ()), entity.extend(found)
-        yield pa.RecordBatch.from_arrays([pa.array(text_id, pa.int64()), pa.array(entity, pa.int64())], names=["text_id", "entity"])
+            text_id.extend([key] * len(found)), entity.extend(found)
+            n.update({w.lower() for w in _WORD.findall(text)} if not spans else _terms(text, spans))
+        yield out(text_id, entity)
+        if len(n) > 500_000 or len(seen) > 500_000:  # a part of the task gives a lower bound as well
+            yield out(None, None)
+            n.clear(), seen.clear()
+    yield out(None, None)
+
+
+class _Bound:
+    """Which terms may tell of an entity: those not known to stand in more than ``most(n(e))`` texts."""
 
+    def __init__(self, known: dict[int, int] | None, largest: int, frequent: dict[str, int], total: int, disclosure: float):
+        self.known, self.largest, self.frequent, self.total, self.disclosure = known, largest, frequent, total, disclosure
 
-def _contexts(wanted: set[int] | None):
-    """(text_id, entities, terms) of each text that holds wanted entities; without wanted, any."""
+    def most(self, n: int) -> float:
+        return n * (max(self.total, 1) / n) ** (1 - self.disclosure) * (1 + 1e-9)
+
+    def entities(self, found: set[int]) -> list[int]:
+        return list(found) if self.known is None else [e for e in found if e in self.known]
+
+    def terms(self, terms, entities: list[int]) -> list[str]:
+        most = self.most(self.largest if self.known is None else max(self.known[e] for e in entities))
+        return [t for t in terms if self.frequent.get(t, 0) <= most]
+
+
+def _contexts(bound: _Bound):
+    """(text_id, entities, terms) of each text that holds wanted entities, with the terms that may tell of one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: tuple[list, list, list] = ([], [], [])
             for text in b.column(0).to_pylist():
                 spans = base_spans(text)
-                found = {_entity(text, s) for s in spans}
-                found = found if wanted is None else found & wanted
-                if found:
-                    for column, v in zip(rows, (_hash(text), list(found), list(_terms(text, spans))), strict=True):
+                found = bound.entities({_entity(text, s) for s in spans})
+                if found and (terms := bound.terms(_terms(text, spans), found)):
+                    for column, v in zip(rows, (_hash(text), found, terms), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.list_(pa.string()))], names=["text_id", "entities", "terms"])
 
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(bound: _Bound):
     """In how many rows each entity and term stand, summed within the task as far as memory goes."""
-    n: Counter = Counter()
 
-    def out() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array([e for e, _ in n], pa.int64()), pa.array([t for _, t in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["entity", "term", "n"])
-        n.clear()
-        return b
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
 
-    for b in batches:
-        for entities, terms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for e in entities:
-                n.update((e, t) for t in terms)
-                if len(n) > 300_000:
-                    yield out()
-    yield out()
+        def out() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array([e for e, _ in n], pa.int64()), pa.array([t for _, t in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["entity", "term", "n"])
+            n.clear()
+            return b
+
+        for b in batches:
+            for entities, terms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for e in entities:
+                    n.update((e, t) for t in (terms if bound.known is None else bound.terms(terms, [e])))
+                    if len(n) > 300_000:
+                        yield out()
+        yield out()
+
+    return run
 
 
 def telling_terms(docs: DataFrame, scratch: Scratch, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(entity, term, share): the pairs whose disclosed share of the entity's information reaches the threshold."""
-    entities = docs.select("text").mapInArrow(_entities, "text_id long, entity long").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    scan = scratch.table(docs.select("text").mapInArrow(_scan, "text_id long, entity long, term string, n long"), "scan")
+    entities = scan.where("entity IS NOT NULL").select("text_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     entities = scratch.table(entities.where(F.col("n_entity") >= int(support)), "entities")  # a pair stands in no more texts than its entity
-    known = None if entities.count() > BROADCAST_ROWS else {r.entity for r in entities.toLocalIterator()}
-    contexts = docs.select("text").mapInArrow(_contexts(known), "text_id long, entities array<long>, terms array<string>").dropDuplicates(["text_id"])
-    both = contexts.select("entities", "terms").mapInArrow(_pairs, "entity long, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    frequent = scan.where("term IS NOT NULL").groupBy("term").agg(F.max("n").alias("n")).orderBy(F.col("n").desc(), "term").limit(FREQUENT_MOST)
+    texts = docs.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("_h"))
+    total = texts.select("_h").distinct().count()
+    size = entities.agg(F.count("*").alias("n"), F.max("n_entity").alias("largest")).first()
+    known = None if size.n > BROADCAST_ROWS else {r.entity: r.n_entity for r in entities.toLocalIterator()}
+    bound = _Bound(known, size.largest or 1, {r.term: r.n for r in frequent.toLocalIterator()}, total, disclosure)
+    contexts = docs.select("text").mapInArrow(_contexts(bound), "text_id long, entities array<long>, terms array<string>").dropDuplicates(["text_id"])
+    both = contexts.select("entities", "terms").mapInArrow(_pairs(bound), "entity long, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
     both = scratch.table(both.where(F.col("n") >= int(support)), "pairs")
     wanted = scratch.table(both.select("term").distinct(), "terms")
-    texts = docs.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("_h"))
     count = wanted.count()
     if not count:
         return both.select("entity", "term", F.lit(1.0).alias("share")).limit(0)
-    total = texts.select("_h").distinct().count()
     words = None if count > BROADCAST_ROWS else {r.term for r in wanted.toLocalIterator()}
     # One row a text with its wanted terms, one of each text, then counts that are summed before the shuffle.
     found = texts.select("text", "_h").mapInArrow(_holders(words), "h long, terms array<string>").dropDuplicates(["h"])
@@ -276,29 +323,33 @@ def _finder(telling: dict[str, float] | None, clean: bool):
     return F.pandas_udf(run, FOUND)
 
 
-def with_spans(spark: SparkSession, docs: DataFrame, clean: bool = False) -> DataFrame:
-    """docs with ``_pii``: counts, digest and spans, and with clean the sanitised text."""
-    scratch = Scratch(spark, "pii")
-    telling = telling_terms(docs, scratch).groupBy("term").agg(F.max("share").alias("share"))
-    telling = scratch.table(telling, "telling")
-    if telling.count() <= BROADCAST_ROWS:
-        return docs.withColumn("_pii", _finder({r.term: r.share for r in telling.toLocalIterator()}, clean)(F.col("text")))
+def with_spans(spark: SparkSession, docs: DataFrame, clean: bool = False, to: str = "_pii") -> DataFrame:
+    """docs with a struct column ``to`` (none of its own): counts, digest and spans, and with clean the sanitised text."""
+    with Scratch(spark, "pii") as scratch:
+        telling = scratch.table(telling_terms(docs, scratch).groupBy("term").agg(F.max("share").alias("share")), "telling")
+        if telling.count() <= BROADCAST_ROWS:
+            return docs.withColumn(to, _finder({r.term: r.share for r in telling.toLocalIterator()}, clean)(F.col("text")))
+        telling = scratch.keep(telling)
     pairs = docs.select("text").mapInArrow(_words, "text_id long, term string").distinct()
-    of = pairs.join(telling, "term").groupBy("text_id").agg(F.collect_list(F.struct("term", "share")).alias("_found"))
+    of = pairs.join(telling, "term").groupBy("text_id").agg(F.collect_list(F.struct("term", "share")).alias("found"))
 
     def keys(text: pd.Series) -> pd.Series:
         return pd.Series([_hash(t) if t else None for t in text], dtype="Int64")  # a float column would round the hashes
 
-    out = docs.withColumn("_t", F.pandas_udf(keys, "long")(F.col("text"))).join(of, F.col("_t") == F.col("text_id"), "left")
-    return out.withColumn("_pii", _finder(None, clean)(F.col("text"), F.col("_found"))).select(*[docs[c] for c in docs.columns], "_pii")
+    rows = docs.select(F.struct("*").alias("row")).withColumn("own", F.pandas_udf(keys, "long")(F.col("row.text")))
+    rows = rows.join(of, F.col("own") == F.col("text_id"), "left").withColumn("pii", _finder(None, clean)(F.col("row.text"), F.col("found")))
+    return rows.select("row.*", F.col("pii").alias(to))
 
 
 def sanitised(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with every span redacted in ``text`` and ``n_chars`` (if there) brought up to date."""
-    out = with_spans(spark, docs, clean=True)
-    text = F.col("_pii.clean")
-    new = {"text": text, "n_chars": F.when(text.isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {"text": text}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    """docs with every span redacted in ``text`` and ``n_chars`` (if there) brought up to date; other columns, whatever their names, stay."""
+    to = free("_pii", docs)
+    out = with_spans(spark, docs, clean=True, to=to)
+    text = F.col(f"{to}.clean")
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(text.isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
