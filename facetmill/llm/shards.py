@@ -3,23 +3,27 @@
 A store is a folder of immutable Parquet shards and numbered manifests. An append writes its rows as
 small shards, without a shuffle. Compaction sorts shards into tiers by size (tier t holds those of
 FAN_IN**t times SMALL bytes and more); a tier with FAN_IN shards or more is merged into runs of up to
-the target size, each merge being a task that reads its shards and writes one. A change becomes visible
+the target size, each run being a task that reads whole shards and writes one. A change becomes visible
 by one atomic rename of its manifest, which names the shards of its version; the rename fails if
-that version is there already, so of two writers one has to start again from the newer state. Shards
-that no kept version names are deleted by vacuum.
+that version is there already, so of two writers one has to start again from the newer state.
+
+Vacuum deletes what only superseded versions name, once these have been superseded for a grace period, so
+readers of an older version have that long to finish. Files that no manifest names may belong to a
+writer who hasn't committed yet; they are deleted only when they are older than ORPHAN_GRACE.
 
 The driver handles file names, sizes and row counts alone, never rows. Lost executors only repeat
 their tasks: what a failed try has written is in no manifest.
 
 Edge cases: an empty append commits a version with no further shards; nulls, long texts, repeated rows and
-all columns are kept as they are; columns named like the placement's get a suffix there; appends with other
-columns than the store's are an error.
+all columns (of any names) are kept as they are; appends with other columns than the store's are an error.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -32,7 +36,9 @@ SMALL = 1 << 20
 FAN_IN = 4
 TARGET = 64 << 20
 ARRIVAL_ROWS = 2_000
-KEEP_VERSIONS = 1
+KEEP_VERSIONS = 8
+GRACE = 24 * 3600.0  # seconds that a superseded version stays readable
+ORPHAN_GRACE = 7 * 24 * 3600.0  # seconds that a writer may take to commit its files
 
 
 @dataclass(frozen=True)
@@ -50,9 +56,13 @@ class ShardStore:
     def __init__(self, spark: SparkSession, path: str, target: int = TARGET, small: int = SMALL, fan_in: int = FAN_IN):
         self.spark, self.path, self.target, self.small, self.fan_in = spark, path.rstrip("/"), target, small, fan_in
 
-    def _list(self, folder: str) -> list[tuple[str, int]]:
+    def _status(self, folder: str) -> list[tuple[str, int, float]]:
+        """Name, bytes and seconds since the epoch of each file."""
         p, fs = hadoop_path(self.spark, f"{self.path}/{folder}")
-        return sorted((f.getPath().getName(), f.getLen()) for f in fs.listStatus(p)) if fs.exists(p) else []
+        return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime() / 1000) for f in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _list(self, folder: str) -> list[tuple[str, int]]:
+        return [(n, size) for n, size, _ in self._status(folder)]
 
     def version(self) -> int:
         """The newest committed version; 0 of an empty store."""
@@ -112,7 +122,7 @@ class ShardStore:
                     return tiers[t], runs
         return None
 
-    def compact(self, keep: int = KEEP_VERSIONS) -> int:
+    def compact(self, keep: int = KEEP_VERSIONS, grace: float = GRACE) -> int:
         """Merges tiers until none is due; every merge is a version. Returns the newest."""
         while True:
             base = self.version()
@@ -120,38 +130,49 @@ class ShardStore:
             due = self.plan(shards)
             if due is None:
                 return base
-            old, runs = due
+            old, _ = due
             gone = {s.file for s in old}
-            # coalesce hands each task whole shards of one tier, so runs come out alike without a shuffle
-            merged = self._write(self.read(old, whole=True).coalesce(runs), base + 1)
+            with self._whole_shards():
+                merged = self._write(self.read(old), base + 1)
             self.commit(base + 1, [s for s in shards if s.file not in gone] + merged)
-            self.vacuum(keep)
-
-    def read(self, shards: list[Shard] | None = None, whole: bool = False) -> DataFrame:
-        """Rows of a version's shards; with whole, one task a shard at most."""
-        shards = self.manifest() if shards is None else shards
-        key = "spark.sql.files.openCostInBytes"
-        old = self.spark.conf.get(key)
+            self.vacuum(keep, grace)
+
+    @contextlib.contextmanager
+    def _whole_shards(self):
+        """While it holds, a scan that runs packs whole files into tasks of up to the target size, without a shuffle."""
+        want = {"maxPartitionBytes": str(self.target), "openCostInBytes": "0", "minPartitionNum": "1"}
+        old = {k: self.spark.conf.get(f"spark.sql.files.{k}", None) for k in want}
+        for k, v in want.items():
+            self.spark.conf.set(f"spark.sql.files.{k}", v)
         try:
-            if whole:
-                self.spark.conf.set(key, str(self.target))
-            return self.spark.read.parquet(*[f"{self.path}/{s.file}" for s in shards])
+            yield
         finally:
-            self.spark.conf.set(key, old)
-
-    def vacuum(self, keep: int = KEEP_VERSIONS) -> None:
-        """Deletes manifests older than the newest keep versions, and shards that the kept don't name."""
-        kept = range(max(1, self.version() - keep + 1), self.version() + 1)
-        named = {s.file for v in kept for s in self.manifest(v)}
-        for folder, _ in self._list("data"):
-            for n, _ in self._list(f"data/{folder}"):
-                if n.endswith(".parquet") and f"data/{folder}/{n}" not in named:
-                    p, fs = hadoop_path(self.spark, f"{self.path}/data/{folder}/{n}")
-                    fs.delete(p, False)
-        for n, _ in self._list("manifests"):
-            if n.startswith("v") and int(n[1:-5]) not in kept:
-                p, fs = hadoop_path(self.spark, f"{self.path}/manifests/{n}")
+            for k, v in old.items():
+                self.spark.conf.unset(f"spark.sql.files.{k}") if v is None else self.spark.conf.set(f"spark.sql.files.{k}", v)
+
+    def read(self, shards: list[Shard] | None = None) -> DataFrame:
+        """Rows of a version's shards."""
+        shards = self.manifest() if shards is None else shards
+        return self.spark.read.parquet(*[f"{self.path}/{s.file}" for s in shards])
+
+    def vacuum(self, keep: int = KEEP_VERSIONS, grace: float = GRACE, orphan_grace: float = ORPHAN_GRACE) -> None:
+        """Deletes versions older than the newest keep that have been superseded for grace seconds, the shards that only
+        they name, and files of no version that are older than orphan_grace."""
+        now, newest = time.time(), self.version()
+        born = {int(n[1:-5]): at for n, _, at in self._status("manifests") if n.startswith("v") and n.endswith(".json")}
+        # the newest manifest is read after the listing of files, so what was committed meanwhile is known
+        files = [(f"data/{folder}/{n}", at) for folder, _ in self._list("data") for n, _, at in self._status(f"data/{folder}") if n.endswith(".parquet")]
+        drop = {v for v in born if v <= newest - keep and now - born.get(v + 1, now) >= grace}
+        born |= {int(n[1:-5]): at for n, _, at in self._status("manifests") if n.startswith("v") and n.endswith(".json")}
+        kept = {s.file for v in born if v not in drop for s in self.manifest(v)}
+        dropped = {s.file for v in drop for s in self.manifest(v)}
+        for file, at in files:
+            if file not in kept and (file in dropped or now - at >= orphan_grace):
+                p, fs = hadoop_path(self.spark, f"{self.path}/{file}")
                 fs.delete(p, False)
+        for v in sorted(drop):
+            p, fs = hadoop_path(self.spark, f"{self.path}/manifests/v{v:010d}.json")
+            fs.delete(p, False)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,9 +180,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     (number in the manifest's order), tier, shard_bytes, version that wrote the shard."""
     store = ShardStore(spark, f"{shared_dir(spark)}/facetmill/store-{uuid.uuid4().hex[:12]}")
     store.append(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    store.compact()
+    store.compact(keep=1, grace=0.0)  # nobody else reads this store
     shards = store.manifest()
     rows = [(s.file.rsplit("/", 1)[-1], i, store.tier(s.bytes), s.bytes, s.version) for i, s in enumerate(shards)]
     names = spark.createDataFrame(rows, "file string, shard long, tier int, shard_bytes long, version int")
-    placed = store.read(shards).select("doc_id", F.col("_metadata.file_name").alias("file"))
+    placed = store.read(shards).select("doc_id", F.substring_index(F.input_file_name(), "/", -1).alias("file"))
     return placed.join(names, "file").select("doc_id", "shard", "tier", "shard_bytes", "version")
