@@ -5,16 +5,21 @@ Documents are sets of hashed word shingles. Two sets with Jaccard similarity of
 shingles. The order here puts shingles seen often last (by document counts gathered in all parts of
 the corpus), the rest by hash; it decides cost only, never results.
 
-1. Documents with equal sets form a class; classes with equal size and prefix form a group.
-2. The groups' prefix shingles make an inverted index. Entries of one shingle are compared group by
-   group (size and position filters), then the pairs of groups that remain are expanded to classes
-   and filtered by a 2048-bit parity signature, a strict bound: two sets that differ in d shingles
-   have signatures that differ in at most d bits.
-   Large sets are held against each other once more by signatures that grow with them.
-3. First pass: of the pairs left in one shingle's entries, a spanning forest of the nearest is kept;
-   of all forests, each class's nearest pair, then the nearest pair between any two components, is
-   verified against the full sets. Second pass: every pair left between different components is verified. Links within a component need no check, so no group of copies
-   is expanded into all its pairs, and no link between components is lost.
+1. Documents with equal sets form a class; classes with equal size and prefix form a group, which a
+   representative and a radius (how far members' signatures are from its own) stand for.
+2. The groups' prefix shingles make an inverted index; shingles of one group alone are dropped by a
+   bitmap before entries travel. Group pairs in the entries of one shingle are filtered by size,
+   position and parity signatures of about a bit a shingle, a strict bound: two sets that differ in d
+   shingles have signatures that differ in at most d bits, so members of two groups differ in at least
+   the representatives' distance less both radii. Large sets are held against each other once more by
+   signatures that grow with them.
+3. First pass: of the group pairs left in one shingle's entries, a spanning forest of the nearest is kept,
+   and each member's pair with its own representative; of these, each class's nearest pair, then
+   the nearest pair between any two components, is verified against the full sets. Second pass: shingles whose
+   entries lost a pair to the forest, or hold groups of several classes, and groups of over two classes, are
+   expanded to classes if these are in several components, and every pair left between different components
+   is verified. Links within a component need no check, so no group of copies is expanded into all its pairs,
+   and no link between components is lost.
 
 Entries of a frequent shingle are cut in blocks, one task a pair of blocks, so that no task holds an
 unbounded group. Full sets travel only for pairs to be verified.
@@ -34,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetmill.llm.bitmap import bitmap, hit
+from facetmill.llm.names import free
 from facetmill.llm.wordhash import mix, shingle_set, text_words
 from facetmill.operators.graph import connected_components
 from facetmill.sources.scratch import Scratch, arrow_rows
@@ -42,7 +49,8 @@ HEAVY_MOST = 65_536  # entries of the list that orders frequent shingles last; i
 HEAVY_LEAST = 8
 BLOCK = 1024
 BROADCAST_IDS = 400_000  # about 10 MB; beyond it the same join is shuffled
-SIGNATURE_BYTES = 256
+SIGNATURE_MOST = 2048  # bits
+ENTRIES = 20_000  # index rows of an Arrow batch
 WIDE_FROM = 1600
 SHORT_RUN = 24  # entries of one shingle that are compared by shifts, many shingles at once
 ROWS = 2_000  # of an Arrow batch
@@ -56,18 +64,20 @@ def prefix_sizes(n, percent: int):
     return own, low
 
 
-def _signature(s: np.ndarray) -> bytes:
-    bits = np.bincount((mix(s) >> _U(53)).astype(np.int64), minlength=8 * SIGNATURE_BYTES) & 1
+def _parity(s: np.ndarray, size: int) -> bytes:
+    """Parity signature of size (a power of two) bits, indexed by low bits, so that halves add up to that of half the size."""
+    bits = np.bincount((mix(s) & _U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _signature(s: np.ndarray) -> bytes:
+    """One to two bits an element, SIGNATURE_MOST at most."""
+    return _parity(s, min(SIGNATURE_MOST, 1 << max(6, int(len(s)).bit_length())))
+
+
 def _wide(s: np.ndarray) -> bytes | None:
-    """For large sets, the same kind of signature with 2 to 4 bits an element, indexed by low bits so that it folds."""
-    if len(s) <= WIDE_FROM:
-        return None
-    size = 1 << int(2 * len(s) - 1).bit_length()
-    bits = np.bincount((mix(s) & _U(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """For large sets, the same kind of signature with 2 to 4 bits an element."""
+    return _parity(s, 1 << int(2 * len(s) - 1).bit_length()) if len(s) > WIDE_FROM else None
 
 
 def _wide_distance(x: bytes, y: bytes) -> int:
@@ -154,13 +164,34 @@ def signatures(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataF
 
 
 KEYS = ("own", "token", "lo", "hi")
-COLUMNS = (*KEYS, "block", "gid", "n", "pos", "cid", "comp", "bits")
+COLUMNS = (*KEYS, "block", "gid", "n", "pos", "cid", "comp", "radius", "many", "bits")
+
+
+def _folded(column: pa.ChunkedArray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Bytes of each signature, and for each such number all that are as long or longer, folded to it."""
+    raw = column.to_pylist()
+    size = np.array([len(x) for x in raw], np.int64)
+    out: dict[int, np.ndarray] = {}
+    above = None
+    for w in sorted(set(size.tolist()), reverse=True):
+        m = np.zeros((len(raw), w // 8), _U)
+        if above is not None:
+            x = above
+            while x.shape[1] > w // 8:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            m |= x
+        own = np.flatnonzero(size == w)
+        m[own] = np.frombuffer(b"".join([raw[i] for i in own.tolist()]), _U).reshape(len(own), -1)
+        out[w] = above = m
+    return size, out
 
 
 def _compare(percent: int, forest: bool):
-    """Pairs of classes left in each run of equal KEYS, with the bits in which their signatures differ; with forest, only a spanning forest of them, nearest first."""
+    """Pairs of classes left in each run of equal KEYS, with the bits in which their signatures differ at least.
+    With forest, only a spanning forest of them, nearest first, and a row (token, own, -1) for each run that lost
+    a pair or holds one of groups of several classes."""
 
-    def fits(t: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def fits(t: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the entry pairs (a, b) of one run pass every filter, as positions in a, and their signatures' distance."""
         na, nb, pa_, pb = t["n"][a], t["n"][b], t["pos"][a], t["pos"][b]
         need = (percent * (na + nb) + 99 + percent) // (100 + percent)
@@ -170,11 +201,17 @@ def _compare(percent: int, forest: bool):
         fit &= (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (t["comp"][a] != t["comp"][b])
         fit &= (t["lo"][a] == t["hi"][a]) | (t["block"][a] != t["block"][b])
         at = np.flatnonzero(fit)
-        differ = np.bitwise_count(t["bits"][a[at]] ^ t["bits"][b[at]]).sum(axis=1).astype(np.int64)
+        i, j = a[at], b[at]
+        width = np.minimum(t["size"][i], t["size"][j])
+        differ = np.zeros(len(at), np.int64)
+        for w in np.unique(width).tolist():
+            k = np.flatnonzero(width == w)
+            differ[k] = np.bitwise_count(t["bits"][w][i[k]] ^ t["bits"][w][j[k]]).sum(axis=1)
+        differ = np.maximum(differ - t["radius"][i] - t["radius"][j], 0)
         near = differ <= (na + nb - 2 * need)[at]
         return at[near], differ[near]
 
-    def pairs(t: dict[str, np.ndarray], edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(t: dict, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         left, right, far = [], [], []
         size = np.diff(edges)
         run = np.repeat(np.arange(len(size)), size)
@@ -195,8 +232,9 @@ def _compare(percent: int, forest: bool):
                 at, d = fits(t, a, b)
                 left.append(a[at]), right.append(b[at]), far.append(d)
         if not left:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+            return (np.empty(0, np.int64),) * 4
         a, b, d = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+        open_ = np.empty(0, np.int64)
         if forest:  # an entry belongs to one run, so one forest over entries holds those of all runs
             parent: dict[int, int] = {}
 
@@ -213,23 +251,26 @@ def _compare(percent: int, forest: bool):
                 if x != y:
                     parent[x] = y
                     keep.append(e)
+            lost = np.ones(len(a), bool)
+            lost[keep] = False
+            open_ = np.unique(run[a[lost | (t["many"][a] == 1) | (t["many"][b] == 1)]])
             a, b, d = a[keep], b[keep], d[keep]
-        return t["cid"][a], t["cid"][b], d
+        return t["cid"][a], t["cid"][b], d, edges[open_]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def solve(table: pa.Table) -> pa.RecordBatch:
             t = {c: table.column(c).to_numpy() for c in COLUMNS if c != "bits"}
-            bits = b"".join(c.buffers()[-1].to_pybytes()[c.offset * SIGNATURE_BYTES : (c.offset + len(c)) * SIGNATURE_BYTES] for c in table.column("bits").cast(pa.binary(SIGNATURE_BYTES)).chunks)
-            t["bits"] = np.frombuffer(bits, dtype=_U).reshape(table.num_rows, -1)
+            t["size"], t["bits"] = _folded(table.column("bits"))
             keys = np.stack([t[c] for c in KEYS])
             cut = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
-            a, b, d = pairs(t, np.concatenate(([0], cut, [table.num_rows])))
+            a, b, d, open_ = pairs(t, np.concatenate(([0], cut, [table.num_rows])))
             if len(a):
                 lo, hi = np.minimum(a, b), np.maximum(a, b)
                 _, at = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
                 a, b, d = lo[at], hi[at], d[at]
+            a, b, d = np.concatenate((a, t["token"][open_])), np.concatenate((b, t["own"][open_])), np.concatenate((d, np.full(len(open_), -1)))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
 
         for batch in batches:
@@ -251,9 +292,9 @@ def _compare(percent: int, forest: bool):
     return run
 
 
-def candidates(entries: DataFrame, classes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(a, b, d): pairs of class ids with a < b that pass every filter, and their signatures' distance. classes: cid, gid, comp, bits."""
-    rows = entries.join(classes.select("gid", "cid", "comp", "bits"), "gid")
+def candidates(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b, d): pairs of class ids with a < b that pass every filter, and the least distance of their signatures; with forest,
+    also the rows of ``_compare`` with d = -1. rows: token, gid, n, pos, own, members, cid, comp, radius, many, bits."""
     size = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), size).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), size - 1)))
     rows = rows.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other"))
@@ -261,6 +302,45 @@ def candidates(entries: DataFrame, classes: DataFrame, percent: int, forest: boo
     return rows.mapInArrow(_compare(percent, forest), "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
+def _index(bits: np.ndarray | None):
+    """(token, pos and the group's columns) for each prefix shingle of groups (gid, n, prefix, ...) that the bitmap holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prefix = b.column("prefix")
+            token, edges = prefix.flatten().to_numpy(), prefix.offsets.to_numpy()
+            edges = edges - edges[0]
+            at = np.flatnonzero(hit(bits, token.view(_U)))
+            row = np.searchsorted(edges, at, side="right") - 1
+            rest = [c for c in b.schema.names if c != "prefix"]
+            for i in range(0, len(at), ENTRIES):
+                k, r = at[i : i + ENTRIES], row[i : i + ENTRIES]
+                yield pa.RecordBatch.from_arrays([pa.array(token[k]), pa.array(k - edges[r]), *[b.column(c).take(pa.array(r)) for c in rest]], names=["token", "pos", *rest])
+
+    return run
+
+
+def index(groups: DataFrame, tokens: DataFrame, scratch: Scratch) -> DataFrame:
+    """Entries of groups (gid, prefix, further columns) for tokens (token, members): token, pos, members (1 unless blocks are
+    needed) and all columns but the prefix. Entries of a few other tokens may be among them."""
+    fields = {f.name: f"{f.name} {f.dataType.simpleString()}" for f in groups.schema if f.name != "prefix"}
+    bits = bitmap(tokens, "token", tokens.count())
+    hot = scratch.table(tokens.where(F.col("members") > BLOCK).select("token", "members"), "hot")
+    if bits is None:  # only numbers travel to meet the tokens
+        rows = groups.select("gid", "prefix").mapInArrow(_index(None), f"token long, pos long, {fields['gid']}")
+        rows = rows.join(tokens.select("token"), "token", "left_semi").join(groups.drop("prefix"), "gid")
+    else:
+        rows = groups.mapInArrow(_index(bits), ", ".join(["token long, pos long", *(fields[c] for c in groups.columns if c != "prefix")]))
+    return rows.join(hot, "token", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gid, a, b, d) of members b of a group and its representative a."""
+    for t in batches:
+        d = [_wide_distance(x, y) for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([t.column("gid"), t.column("a"), t.column("b"), pa.array(d, pa.int64())], names=["gid", "a", "b", "d"])
+
+
 def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Drops pairs of large sets that their wide signatures exclude; d becomes the distance of those."""
 
@@ -332,18 +412,26 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     with Scratch(spark, "jaccard") as scratch, arrow_rows(spark, ROWS):
         sets = signatures(docs, k, percent, scratch)
         some = sets.where("n > 0")
-        classes = some.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
-        classes = scratch.table(classes, "classes")
-        groups = classes.groupBy("gid").agg(F.count("*").alias("size"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        groups = scratch.table(groups, "groups")
-        entries = groups.select("gid", "size", "n", F.posexplode("prefix").alias("pos", "token"))
-        shared = entries.groupBy("token").agg(F.count("*").alias("groups"), F.sum("size").alias("members")).where("groups > 1").drop("groups")
-        entries = entries.join(shared, "token").select("token", "gid", "n", F.col("pos").cast("long"), "members", F.lit(0).alias("own"))
-        inner = groups.where("size > 1").select(F.col("gid").alias("token"), "gid", "n", F.lit(0).cast("long").alias("pos"), F.col("size").alias("members"), F.lit(1).alias("own"))
-        entries = scratch.table(entries.unionByName(inner), "entries")
+        of_class = F.struct("gid", "n", "bits", "wide")
+        classes = some.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first(of_class).alias("s"))
+        classes = scratch.table(classes.select("cid", "rep", "s.*"), "classes")
+        groups = some.groupBy("gid").agg(F.first(F.struct("n", "prefix")).alias("s"), F.min(F.struct("cid", "bits")).alias("r"))
+        groups = scratch.table(groups.select("gid", "s.n", "s.prefix", F.col("r.cid").alias("cid"), F.col("r.bits").alias("bits")), "groups")
+        several = scratch.table(classes.groupBy("gid").agg(F.count("*").alias("size")).where("size > 1"), "several")
+        members = classes.join(several, "gid").select("gid", F.col("cid").alias("b"), F.col("bits").alias("y"))
+        lead = groups.join(several, "gid").select("gid", F.col("cid").alias("a"), F.col("bits").alias("x"))
+        stars = scratch.table(members.join(lead, "gid").where("a <> b").mapInArrow(_stars, "gid long, a long, b long, d long"), "stars")
+        several = scratch.table(several.join(stars.groupBy("gid").agg(F.max("d").alias("radius")), "gid"), "several")
+        sized = groups.join(several, "gid", "left").withColumn("size", F.coalesce("size", F.lit(1))).withColumn("radius", F.coalesce("radius", F.lit(0)))
+        tokens = sized.select("size", F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("groups"), F.sum("size").alias("members"))
+        tokens = scratch.table(tokens.where("groups > 1"), "tokens")
+        entries = index(sized, tokens.select("token", F.col("groups").alias("members")), scratch)
+        entries = entries.withColumn("own", F.lit(0)).withColumn("comp", F.col("cid")).withColumn("many", F.when(F.col("size") > 1, 1).otherwise(0))
+        found = scratch.table(candidates(entries, percent, forest=True), "found")
+        open_tokens = found.where("d < 0").select(F.col("a").alias("token")).distinct()
         narrow = classes.select("gid", "cid", "bits")
-        first = candidates(entries, narrow.withColumn("comp", F.col("cid")), percent, forest=True)
-        first = scratch.table(near_enough(first, classes, percent), "forest")
+        pairs = found.where("d >= 0").unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d"))
+        first = scratch.table(near_enough(pairs, classes, percent), "forest")
 
         def components(links: DataFrame) -> DataFrame:
             return scratch.table(connected_components(links, scratch), "parts")
@@ -357,14 +445,22 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
 
         tried = scratch.table(nearest(first), "tried")
         links = scratch.table(verified(docs, tried, classes, k, percent, scratch), "links")
-        open_pairs = between(first.join(tried, ["a", "b"], "left_anti"), components(links))
+        rest = scratch.table(first.join(tried, ["a", "b"], "left_anti"), "rest")
+        open_pairs = between(rest, components(links))
         again = scratch.table(open_pairs.groupBy("x", "y").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b"), "again")
         links = scratch.table(links.union(verified(docs, again, classes, k, percent, scratch)), "links")
-        labelled = narrow.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+        parts = components(links)
+        labelled = narrow.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
         labelled = scratch.table(labelled, "labelled")
-        several = entries.join(labelled.select("gid", "comp"), "gid").groupBy("own", "token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("own", "token")
-        second = candidates(entries.join(several, ["own", "token"], "left_semi"), labelled, percent, forest=False)
-        second = near_enough(second.join(tried.union(again), ["a", "b"], "left_anti"), classes, percent)
+        columns = ("token", "gid", "n", "pos", "members", "own")
+        across = index(groups.select("gid", "n", "prefix"), scratch.table(tokens.join(open_tokens, "token", "left_semi"), "open"), scratch).withColumn("own", F.lit(0)).select(*columns)
+        inside = groups.join(several.where("size > 2"), "gid").select(F.col("gid").alias("token"), "gid", "n", F.lit(0).cast("long").alias("pos"), F.col("size").alias("members"), F.lit(1).alias("own"))
+        entries = scratch.table(across.unionByName(inside), "entries")
+        mixed = entries.join(labelled.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")), "gid").groupBy("own", "token").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x <> y").select("own", "token")
+        rows = entries.join(mixed, ["own", "token"], "left_semi").join(labelled, "gid").withColumn("radius", F.lit(0).cast("long")).withColumn("many", F.lit(0))
+        second = candidates(rows, percent, forest=False)
+        second = near_enough(second.join(tried.union(again), ["a", "b"], "left_anti"), classes, percent).select("a", "b")
+        second = second.union(between(rest, parts).join(again, ["a", "b"], "left_anti").select("a", "b")).distinct()
         more = scratch.table(verified(docs, second, classes, k, percent, scratch), "more")
         parts = components(links.union(more))
         whole = classes.select("cid", "rep").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
@@ -380,13 +476,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     Rows that share an id and a text stay once. Rows of empty sets and of null ids stay as they are.
     """
     found = jaccard_components(spark, docs, k, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again")
-    if not again.head(1):
-        return left
-    once = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+    gone, again = free("_gone", docs), free("_again", docs)
+    out = docs.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), docs["doc_id"] == F.col(gone), "left_anti")
+    twice = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(F.col("doc_id").alias(again)).agg(F.count("*").alias("n")).where("n > 1").select(again)
+    if not twice.head(1):
+        return out
+    once = out.join(twice, out["doc_id"] == F.col(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(twice, out["doc_id"] == F.col(again), "left_anti").unionByName(once)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
