@@ -5,13 +5,16 @@ key within a source is a weighted sample without replacement. A source's target
 epochs and a remainder; the remainder takes documents in key order while their prefix sum of words
 stays nearest the target. Only DataFrame functions are used.
 
-A source is never sorted as a whole: keys fall in ``buckets`` ranges, the words of each range are
-summed first, and only the range in which the target is crossed is sorted. A source with a third
-of all rows so costs one task a few thousandths of it.
+A source is never sorted as a whole: keys fall in buckets of equal width in the logarithm of the key
+(600 a unit; keys of any one quality spread over some units, whatever the quality), the words of each bucket
+are summed first, and only the bucket in which the target is crossed is sorted. Rows of equal id and
+size in it are one entry with a count, so no number of repeated rows makes a large group; of the entry at
+the cut as many rows are taken as it takes to come nearest the target, told apart by the place where they are stored.
 
 Edge cases: null and empty texts have size 0 and take 0 words; a null source is a source of its own,
-last in order; repeated rows are separate documents with equal keys, told apart by nothing and so
-taken together but for the last; an empty table gives no rows; other columns pass through untouched.
+last in order; repeated rows are separate documents with equal keys, of which just so many are taken as
+the target needs; an empty table gives no rows; other columns, whatever their names, pass through untouched.
+Sources themselves (one row each) are ranked and shared out by one task.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from facetmill.sources.scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-BUCKETS = 4096
+BUCKETS_A_UNIT = 600  # of the logarithm of the key
 SEED = "mix-27"
 
 
@@ -46,12 +49,12 @@ def uniform(doc_id: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
-def keyed(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """docs with ``_size``, ``_key`` and ``_bucket`` (which rises with the key)."""
-    docs = docs.withColumn("_size", n_words(F.col("text")))
-    docs = docs.withColumn("_key", -F.log(uniform(F.col("doc_id"))) / quality(F.col("text"), F.col("_size")))
-    share = F.lit(1.0) - F.exp(-F.col("_key"))
-    return docs.withColumn("_bucket", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """row (a struct of all columns of docs), source, doc_id, size, key and bucket (which rises with the key)."""
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", F.col("row.source").alias("source"), F.col("row.doc_id").alias("doc_id"), n_words(F.col("row.text")).alias("size"))
+    rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"))) / quality(F.col("row.text"), F.col("size")))
+    return rows.withColumn("bucket", F.floor(F.log("key") * BUCKETS_A_UNIT).cast("int"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
@@ -74,60 +77,82 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MA
 
 
 def plan(keys: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
-    """Per source: ``target``, ``epochs``, and the cut: ``cut_bucket`` and, in it, the last ``(_key, doc_id, _size)`` taken.
+    """Per source (named _source): source_size, target, epochs, and the cut: cut_bucket and in it the last entry
+    (key, id, size) of which rows are taken, and how many of its rows are: n of all.
 
-    keys: source, doc_id, _size, _key, _bucket of every document.
+    keys: source, doc_id, size, key, bucket of every document.
     """
-    filled = keys.groupBy("source", "_bucket").agg(F.sum("_size").alias("_words"))
-    filled = scratch.table(filled, "buckets")
-    sizes = filled.groupBy("source").agg(F.sum("_words").alias("source_size"))
+    filled = scratch.table(keys.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
+    sizes = filled.groupBy("source").agg(F.sum("words").alias("source_size"))
     goal = targets(sizes, weights, most)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("int"))
-    goal = scratch.table(goal.withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
-    w = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = filled.withColumn("_upto", F.sum("_words").over(w)).withColumn("_before", F.col("_upto") - F.col("_words"))
-    g = goal.select(F.col("source").alias("_s"), "_rest")
-    cross = b.join(g, b.source.eqNullSafe(g._s)).where((F.col("_before") < F.col("_rest")) & (F.col("_rest") <= F.col("_upto")))
-    cross = scratch.table(cross.select("_s", F.col("_bucket").alias("cut_bucket"), "_before", "_rest"), "cross")
-    inside = keys.join(cross, keys.source.eqNullSafe(cross._s) & (keys._bucket == cross.cut_bucket))
-    order = Window.partitionBy("_s", "cut_bucket").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("_upto", F.sum("_size").over(order) + F.col("_before"))
-    start = F.col("_upto") - F.col("_size")
-    near = (start < F.col("_rest")) & (F.col("_upto") - F.col("_rest") < F.col("_rest") - start)
-    cut = inside.where((F.col("_upto") <= F.col("_rest")) | near).groupBy("_s").agg(F.max(F.struct("_key", F.col("doc_id").alias("_id"), "_size")).alias("cut"))
-    cut = cut.withColumnRenamed("_s", "_c")
-    out = goal.join(cross.drop("_rest", "_before"), goal.source.eqNullSafe(cross._s), "left").drop("_s")
+    goal = scratch.table(goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
+    w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = filled.withColumn("upto", F.sum("words").over(w)).withColumn("before", F.col("upto") - F.col("words"))
+    g = goal.select(F.col("source").alias("_s"), "rest")
+    cross = b.join(g, b.source.eqNullSafe(g._s)).where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("upto")))
+    cross = scratch.table(cross.select("_s", F.col("bucket").alias("cut_bucket"), "before", "rest"), "cross")
+    inside = keys.join(cross, keys.source.eqNullSafe(cross._s) & (keys.bucket == cross.cut_bucket))
+    entries = inside.groupBy("_s", "cut_bucket", "before", "rest", "key", "doc_id", "size").agg(F.count("*").alias("all"))
+    words = F.col("all") * F.col("size")
+    order = Window.partitionBy("_s", "cut_bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    entries = entries.withColumn("start", F.sum(words).over(order) - words + F.col("before"))
+    # row i of an entry ends at start + i * size; it is taken up to rest, and if it passes rest but lies nearer than the row before
+    whole = F.when(F.col("size") > 0, F.floor((F.col("rest") - F.col("start")) / F.col("size"))).otherwise(F.col("all"))
+    end = F.col("start") + whole * F.col("size")
+    nearer = (end < F.col("rest")) & (end + F.col("size") - F.col("rest") < F.col("rest") - end)
+    n = F.least(F.col("all"), whole + F.when(nearer, 1).otherwise(0)).cast("long")
+    reached = F.col("start") <= F.col("rest")
+    cut = entries.where(reached).withColumn("n", n).where("n > 0").groupBy("_s").agg(F.max(F.struct(F.struct("key", F.col("doc_id").alias("id"), "size").alias("last"), "n", "all")).alias("c"))
+    cut = cut.select(F.col("_s").alias("_c"), F.col("c.last").alias("cut"), "c.n", "c.all")
+    out = goal.join(cross.drop("rest", "before"), goal.source.eqNullSafe(cross._s), "left").drop("_s")
     out = out.join(cut, out.source.eqNullSafe(cut._c), "left").drop("_c")
-    return scratch.table(out.select(F.col("source").alias("_source"), "source_size", "target", "epochs", "cut_bucket", "cut"), "plan")
+    return out.select(F.col("source").alias("_source"), "source_size", "target", "epochs", "cut_bucket", "cut", "n", "all")
 
 
-def with_copies(keys: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Adds ``copies``, how often the mix takes each document, by its source's row of the plan.
+def with_copies(keys: DataFrame, chosen: DataFrame, scratch: Scratch) -> DataFrame:
+    """keys with source_size, target and ``copies``, how often the mix takes each document, by its source's row of the plan.
 
     The plan is a written table of one row per source, so Catalyst broadcasts it only while its
-    size is under spark.sql.autoBroadcastJoinThreshold and else joins by sort with skew handling.
+    size is under spark.sql.autoBroadcastJoinThreshold and else joins by sort with skew handling. Only where
+    some, not all, of the equal rows at a cut are taken, are these rows written and numbered, part by part.
     """
-    mine = F.struct("_key", F.col("doc_id").alias("_id"), "_size")
-    taken = (F.col("_bucket") < F.col("cut_bucket")) | ((F.col("_bucket") == F.col("cut_bucket")) & (mine <= F.col("cut")))
+    mine = F.struct("key", F.col("doc_id").alias("id"), "size")
+    at_cut = (F.col("bucket") == F.col("cut_bucket")) & F.coalesce(mine.eqNullSafe(F.col("cut")), F.lit(False))
+    below = (F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & (mine <= F.col("cut")))
     joined = keys.join(chosen, keys.source.eqNullSafe(chosen._source))
-    return joined.withColumn("copies", F.col("epochs") + F.when(taken, 1).otherwise(0))
+    some = F.coalesce(at_cut & (F.col("n") < F.col("all")), F.lit(False))
+    columns = [*keys.columns, "source_size", "target"]
+    copies = lambda more: (F.col("epochs") + F.when(more, 1).otherwise(0)).alias("copies")
+    if not chosen.where("n < all").head(1):
+        return joined.select(*columns, copies(below))
+    equal = scratch.keep(joined.where(some).withColumn("_at", F.monotonically_increasing_id()), "equal")
+    part = F.shiftright("_at", 33)
+    so_far = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = equal.groupBy("_source", part.alias("_part")).agg(F.count("*").alias("_rows"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(so_far), F.lit(0))).select(F.col("_source").alias("_p"), "_part", "_before")
+    numbered = equal.withColumn("_part", part).withColumn("_i", F.row_number().over(Window.partitionBy("_source", "_part").orderBy("_at")))
+    numbered = numbered.join(parts.withColumnRenamed("_part", "_q"), numbered._source.eqNullSafe(F.col("_p")) & (numbered._part == F.col("_q")))
+    numbered = numbered.select(*columns, copies(F.col("_i") + F.col("_before") <= F.col("n")))
+    return joined.where(~some).select(*columns, copies(below)).unionByName(numbered)
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each row of docs."""
-    scratch = Scratch(spark, "mix")
-    keys = scratch.table(keyed(docs.select("doc_id", "source", "text")).drop("text"), "keys")
-    out = with_copies(keys, plan(keys, scratch, weights, most))
-    return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("_size") * F.col("copies")).alias("taken"))
+    with Scratch(spark, "mix") as scratch:
+        keys = scratch.keep(keyed(docs.select("doc_id", "source", "text")).drop("row"), "keys")
+        chosen = scratch.keep(plan(keys, scratch, weights, most), "plan")
+        out = with_copies(keys, chosen, scratch)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def apply_mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    scratch = Scratch(spark, "mixed")
-    keys = scratch.table(keyed(docs.select("doc_id", "source", "text")).drop("text"), "keys")
-    chosen = plan(keys, scratch, weights, most)
-    out = with_copies(keyed(docs), chosen).where(F.col("copies") > 0)
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    with Scratch(spark, "mixed") as scratch:
+        keys = scratch.table(keyed(docs.select("doc_id", "source", "text")).drop("row"), "keys")
+        chosen = scratch.keep(plan(keys, scratch, weights, most), "plan")
+        out = with_copies(keyed(docs), chosen, scratch).where(F.col("copies") > 0)
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("i")).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
