@@ -69,9 +69,16 @@ class Scratch:
         self.drop()
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """From now on Arrow batches of the session hold so many bytes at most (64 MB by default), so that workers stay
+    small whatever the texts' lengths. Results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
-    """Smaller Arrow batches for what runs inside, so that batches of long texts stay small."""
+    """Arrow batches of fewer rows for what runs inside, and of fewer bytes."""
+    small_batches(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = spark.conf.get(key, "10000")
     spark.conf.set(key, str(rows))
