@@ -130,10 +130,10 @@ class ShardStore:
             due = self.plan(shards)
             if due is None:
                 return base
-            old, _ = due
+            old, runs = due
             gone = {s.file for s in old}
             with self._whole_shards():
-                merged = self._write(self.read(old), base + 1)
+                merged = self._write(self.read(old).coalesce(runs), base + 1)  # at most runs files, however the scan is cut
             self.commit(base + 1, [s for s in shards if s.file not in gone] + merged)
             self.vacuum(keep, grace)
 
