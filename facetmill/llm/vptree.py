@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by vantage-point trees, one a shard.
 
-Vectors are dealt by a hash of their id into shards of about SHARD_ROWS, so no value, however common,
-makes a shard large. The task of a shard builds its tree and runs all queries through it in
+Vectors are dealt by a hash of their id into shards, so no value, however common, makes a shard large. A shard
+has SHARD_ROWS vectors or, of larger tables, a SHARD_SHARE of them up to SHARD_MOST, for every query goes to
+every shard and their number should grow slower than the table. The task of a shard builds its tree and runs all queries through it in
 blocks: a node measures the distance d of its vantage point to all queries that reach it; the half
 on the query's own side of the radius is searched first, the other only if
 factor * |d - radius| <= t, with t the distance of the k-th best so far. Factor 1 restores exact
@@ -27,6 +28,8 @@ from pyspark.sql.window import Window
 from facetmill.sources.scratch import Scratch, arrow_rows
 
 SHARD_ROWS = 16_384
+SHARD_MOST = 131_072
+SHARD_SHARE = 64
 LEAF = 256
 FACTOR = 2.0
 QUERY_BLOCK = 1024
@@ -36,7 +39,7 @@ class Tree:
     """A vantage-point tree over rows x dims (float64) with ids."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF, seed: int = 27):
-        self.ids, self.x, self.norm = ids, x, (x * x).sum(axis=1)
+        self.ids, self.x, self.norm, self.scanned = ids, x, (x * x).sum(axis=1), 0
         rng = np.random.default_rng(seed)
 
         def grow(rows: np.ndarray):
@@ -62,6 +65,7 @@ class Tree:
         qn = (q * q).sum(axis=1)
 
         def scan(rows: np.ndarray, at: np.ndarray) -> None:
+            self.scanned += len(rows) * len(at)
             rough = qn[at, None] + self.norm[rows] - 2 * (q[at] @ self.x[rows].T)
             slack = 1e-9 * (qn[at, None] + self.norm[rows]) + 1e-12
             fit = (rough <= (dist[at, -1] ** 2)[:, None] + slack) & (self.ids[rows][None] != own[at, None])
@@ -153,11 +157,14 @@ def _shard_search(k: int, factor: float):
     return run
 
 
-def nearest(spark: SparkSession, rows: DataFrame, asks: DataFrame, k: int = 10, factor: float = FACTOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(spark: SparkSession, rows: DataFrame, asks: DataFrame, k: int = 10, factor: float = FACTOR, shard_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each of asks its k nearest of rows but its own id; both hold vec_id and embedding."""
     with Scratch(spark, "vptree") as scratch, arrow_rows(spark, 4096):
-        good = [t.where(F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")) for t in (rows, asks)]
-        shards = max(1, -(-good[0].count() // shard_rows))
+        good = [t.where(F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("long"), "embedding") for t in (rows, asks)]
+        if any(t.schema["embedding"].dataType.simpleString() != "array<float>" for t in good):  # floats travel as they are
+            good = [t.withColumn("embedding", F.col("embedding").cast("array<double>")) for t in good]
+        n = good[0].count()
+        shards = max(1, -(-n // (shard_rows or max(SHARD_ROWS, min(SHARD_MOST, n // SHARD_SHARE)))))
         kept = good[0].select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("ask"), "vec_id", "embedding")
         asked = good[1].groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
         asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("ask"), "vec_id", "embedding")
