@@ -1,12 +1,16 @@
 """Cropped and edited copies of images by local descriptors.
 
-Per image and scale, the strongest Harris corners are kept; each gets the orientation of its
-patch's intensity centroid and BITS binary brightness tests, turned by that orientation. A descriptor is
-cut in BANDS words, which are the keys of Hamming tables: descriptors that differ in fewer bits than
-there are bands have a word in common. All entries of a word are compared. Images are cut in blocks by a hash,
-one task a pair of blocks holds all corners of both, so no partner is missed, a common word is shared out over
-the pairs of blocks, and only links leave a task; a corner travels once a block. Matches of two
-images vote for the turn, zoom and shift between them; CONSENSUS different corners that agree make a link.
+At each of several scales, a quarter octave apart, all Harris corners that are strongest within SPACING
+pixels and not FAINT beside the image's strongest are kept, so their number grows with the area; each gets the
+orientation of its patch's intensity centroid and BITS binary brightness tests, turned by that orientation. The
+patch is wide beside the scale's blur (25 pixels), as small patches of smooth images look alike; over the edge
+the image goes on with its border. A descriptor is cut in BANDS words, which are the keys of Hamming tables:
+descriptors that differ in fewer bits than there are bands have a word in common. All entries of a word are
+compared. Images are cut in blocks by a hash, one task a pair of blocks holds all corners of both, so no partner
+is missed, a common word is shared out over the pairs of blocks, and only links leave a task; a corner travels
+once a block. Matches of two images vote for the turn, zoom and shift between them; a link is made by
+CONSENSUS different places (PLACE pixels wide, so one corner at several scales counts once) that agree, or SHARE of
+the corners of the image with fewer, if that is more.
 Images with equal pixels are one class beforehand, so groups of exact copies are never matched.
 
 No table holds images, so the query draws each embedding as one: its numbers, scaled to 0-255, are
@@ -31,26 +35,30 @@ from pyspark.sql import functions as F
 from facetmill.operators.graph import connected_components
 from facetmill.sources.scratch import Scratch, arrow_rows
 
-SCALES = (1.0, 0.75, 0.55)
-CORNERS = 10  # an image and scale
-RADIUS = 6
-MARGIN = 9
+SCALES = tuple(2 ** (-i / 4) for i in range(6))
+RADIUS = 12
+MARGIN = 4
+SPACING = 4
+FAINT = 0.05
 BITS, BANDS = 256, 8
 TURNS = 24
-NEAR = 48  # bits that matched descriptors may differ in
-CONSENSUS = 4
+NEAR = 40  # bits that matched descriptors may differ in
+CONSENSUS = 5
+SHARE = 0.02
+PLACE = 8
 TURN_CELLS = 12
 TURN_CELL = 2 * math.pi / TURN_CELLS
 SHIFT_CELL = 12.0
-BLOCK = 250_000  # corners of a block of images; two of them are in a task
-SPREAD = 5  # blocks that smaller tables are cut in, for work in parallel
-ROOM = 1_000_000  # entries of equal words compared at once
+PART = 20_000  # corners whose partners are looked up at once
+BLOCK = 400_000  # corners of a block of images; two of them are in a task
+SPREAD = 3  # blocks that smaller tables are cut in, for work in parallel
+ROOM = 500_000  # entries of equal words compared at once
 
 
 def _pattern() -> np.ndarray:
     """turn x test x (y1, x1, y2, x2): random pairs in the disc, from a fixed seed, turned."""
     rng = np.random.default_rng(27)
-    p = rng.normal(0, RADIUS / 2, (BITS, 2, 2))
+    p = rng.normal(0, 0.6 * RADIUS, (BITS, 2, 2))
     p *= np.minimum(1, RADIUS / np.maximum(np.linalg.norm(p, axis=2, keepdims=True), 1e-9))
     out = []
     for t in range(TURNS):
@@ -91,28 +99,27 @@ def describe(stack: np.ndarray) -> dict[str, np.ndarray]:
         sh, sw = round(h * scale), round(w * scale)
         if min(sh, sw) <= 2 * MARGIN + 2:
             continue
-        a = _blur(stack.astype(np.float32) if scale == 1 else resize(stack.astype(np.float32), sh, sw))
+        a = _blur(_blur(stack.astype(np.float32) if scale == 1 else resize(stack.astype(np.float32), sh, sw)))
         gy, gx = np.gradient(a, axis=1), np.gradient(a, axis=2)
         yy, xx, xy = _blur(_blur(gy * gy)), _blur(_blur(gx * gx)), _blur(_blur(gx * gy))
         r = yy * xx - xy * xy - 0.05 * (yy + xx) ** 2
         inner = r[:, MARGIN : sh - MARGIN, MARGIN : sw - MARGIN]
-        top = np.ones(inner.shape, bool)
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
+        top = (inner > 1e-3) & (inner >= FAINT * r.max(axis=(1, 2), keepdims=True))
+        around = np.pad(r, ((0, 0), (SPACING, SPACING), (SPACING, SPACING)), mode="edge")
+        for dy in range(-SPACING, SPACING + 1):
+            for dx in range(-SPACING, SPACING + 1):
                 if dy or dx:
-                    other = r[:, MARGIN + dy : sh - MARGIN + dy, MARGIN + dx : sw - MARGIN + dx]
+                    other = around[:, MARGIN + SPACING + dy :, MARGIN + SPACING + dx :][:, : inner.shape[1], : inner.shape[2]]
                     top &= inner > other if (dy, dx) > (0, 0) else inner >= other
-        strength = np.where(top & (inner > 1e-3), inner, -1.0).reshape(n, -1)
-        k = min(CORNERS, strength.shape[1])
-        best = np.argsort(-strength, axis=1, kind="stable")[:, :k]
-        i, j = np.nonzero(np.take_along_axis(strength, best, 1) > 0)
-        spot = best[i, j]
-        y, x = spot // inner.shape[2] + MARGIN, spot % inner.shape[2] + MARGIN
-        patch = a[i[:, None], y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
+        i, y, x = np.nonzero(top)
+        y, x = y + MARGIN, x + MARGIN
+        wide = np.pad(a, ((0, 0), (RADIUS + 1, RADIUS + 1), (RADIUS + 1, RADIUS + 1)), mode="edge")
+        of, row, column = i[:, None], y[:, None] + RADIUS + 1, x[:, None] + RADIUS + 1
+        patch = wide[of, row + _DISC[:, 0], column + _DISC[:, 1]]
         angle = np.arctan2((patch * _DISC[:, 0]).sum(1), (patch * _DISC[:, 1]).sum(1))
         turn = np.rint(angle / (2 * np.pi / TURNS)).astype(int) % TURNS
         t = PATTERN[turn]
-        bits = a[i[:, None], y[:, None] + t[..., 0], x[:, None] + t[..., 1]] < a[i[:, None], y[:, None] + t[..., 2], x[:, None] + t[..., 3]]
+        bits = wide[of, row + t[..., 0], column + t[..., 1]] < wide[of, row + t[..., 2], column + t[..., 3]]
         for key, v in (("image", i), ("y", (y + 0.5) / scale), ("x", (x + 0.5) / scale), ("scale", np.full(len(i), 1 / scale)), ("angle", angle), ("desc", np.packbits(bits, axis=1))):
             found[key].append(v)
     if not found["image"]:
@@ -152,13 +159,14 @@ def _corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shapes.setdefault((h, w), []).append(i)
         cid, pixels = b.column(0).to_numpy(), b.column(3).to_pylist()
         for (h, w), rows in shapes.items():
-            step = max(1, 2_000_000 // (h * w))
+            step = max(1, 800_000 // (h * w))
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
                 got = describe(np.stack([np.frombuffer(pixels[i], np.uint8).reshape(h, w) for i in part]))
                 image = got["image"].astype(int)
+                place = (got["y"] // PLACE).astype(np.int32) * (w // PLACE + 1) + (got["x"] // PLACE).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cid[np.array(part)[image]] if len(image) else np.empty(0, np.int64)), pa.array(np.arange(len(image), dtype=np.int32)), *[pa.array(got[k].astype(np.float64)) for k in ("y", "x", "scale", "angle")], pa.array([d.tobytes() for d in got["desc"]], pa.binary())],
+                    [pa.array(cid[np.array(part)[image]] if len(image) else np.empty(0, np.int64)), pa.array(place.astype(np.int32)), *[pa.array(got[k].astype(np.float64)) for k in ("y", "x", "scale", "angle")], pa.array([d.tobytes() for d in got["desc"]], pa.binary())],
                     names=["cid", "corner", "y", "x", "scale", "angle", "desc"])
 
 
@@ -167,10 +175,11 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
-def _agreeing(pair: np.ndarray, corner: np.ndarray, zoom: np.ndarray, turn: np.ndarray, dy: np.ndarray, dx: np.ndarray, consensus: int) -> np.ndarray:
-    """Pairs with consensus different corners in one cell of the transforms. turn, dy and dx are in half cells: votes
+def _agreeing(pair: np.ndarray, corner: np.ndarray, zoom: np.ndarray, turn: np.ndarray, dy: np.ndarray, dx: np.ndarray, need: np.ndarray | int) -> np.ndarray:
+    """Pairs with so many different corners as they need in one cell of the transforms. turn, dy and dx are in half cells: votes
     are counted in cells, twice a dimension so that neighbours over an edge meet as well; the cells of the turn close the circle."""
     linked = np.empty(0, np.int64)
+    need = np.broadcast_to(need, pair.shape)
     for k in range(8):
         t, y, x = (turn + (k & 1)) // 2 % TURN_CELLS, (dy + (k >> 1 & 1)) // 2, (dx + (k >> 2)) // 2
         key, room = np.zeros(len(pair), np.int64), 1
@@ -186,29 +195,46 @@ def _agreeing(pair: np.ndarray, corner: np.ndarray, zoom: np.ndarray, turn: np.n
         key = key[by]
         keep = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
         by, cell = by[keep], key[keep] // cells
-        far = consensus - 1
-        full = np.flatnonzero(cell[far:] == cell[: max(0, len(cell) - far)])
-        found = np.unique(pair[by[full]])
+        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.empty(0, np.int64)
+        votes = np.diff(np.append(first, len(cell)))
+        found = np.unique(pair[by[first[votes >= need[by[first]]]]])
         if len(found):
             linked = np.concatenate((linked, found))
             rest = ~np.isin(pair, found)
-            pair, corner, zoom, turn, dy, dx = (v[rest] for v in (pair, corner, zoom, turn, dy, dx))
+            pair, corner, zoom, turn, dy, dx, need = (v[rest] for v in (pair, corner, zoom, turn, dy, dx, need))
     return linked
 
 
+class _Side:
+    """Corners sorted by cid, with the order of each table's words."""
+
+    def __init__(self, rows: dict[str, np.ndarray]):
+        self.rows = rows
+        self.orders = [np.argsort(rows["word"][:, k], kind="stable").astype(np.int32) for k in range(BANDS)]
+        self.sorted = [rows["word"][o, k] for k, o in enumerate(self.orders)]
+        self.ids, self.image, self.many = np.unique(rows["cid"], return_inverse=True, return_counts=True)
+
+
 def _linked(left: dict[str, np.ndarray], right: dict[str, np.ndarray], consensus: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked classes (a, b) between corners of two sides, or within one side given twice. Rows are sorted by cid."""
     if not len(left["cid"]) or not len(right["cid"]):
         return
-    same = left is right
-    orders = [np.argsort(right["word"][:, k], kind="stable") for k in range(BANDS)]
+    side = _Side(right)
+    edges = np.append(np.flatnonzero(np.concatenate(([True], left["cid"][1:] != left["cid"][:-1]))), len(left["cid"]))
+    at = 0
+    while at < len(edges) - 1:  # whole images of PART corners together
+        end = max(at + 1, int(np.searchsorted(edges, edges[at] + PART, "right")) - 1)
+        yield from _part({k: v[edges[at] : edges[end]] for k, v in left.items()}, side, left is right, consensus)
+        at = end
+
+
+def _part(left: dict[str, np.ndarray], side: _Side, same: bool, consensus: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    right, orders, ids, image, many = side.rows, side.orders, side.ids, side.image, side.many
     low, count = np.empty((BANDS, len(left["cid"])), np.int64), np.empty((BANDS, len(left["cid"])), np.int64)
-    for k, o in enumerate(orders):
-        w = right["word"][o, k]
+    for k, w in enumerate(side.sorted):
         low[k] = np.searchsorted(w, left["word"][:, k])
         count[k] = np.searchsorted(w, left["word"][:, k], "right") - low[k]
     total = np.concatenate(([0], np.cumsum(count.sum(axis=0))))
-    ids, image = np.unique(right["cid"], return_inverse=True)
     starts = np.append(np.flatnonzero(np.concatenate(([True], left["cid"][1:] != left["cid"][:-1]))), len(left["cid"]))
     at = 0
     while at < len(starts) - 1:
@@ -221,7 +247,7 @@ def _linked(left: dict[str, np.ndarray], right: dict[str, np.ndarray], consensus
                 yield from _linked(one, other, consensus)
             at = end
             continue
-        names = np.unique(left["cid"][first:last])
+        names, own = np.unique(left["cid"][first:last], return_counts=True)
         votes: list[np.ndarray] = []
         row = first
         while row < last:
@@ -247,23 +273,36 @@ def _linked(left: dict[str, np.ndarray], right: dict[str, np.ndarray], consensus
                 votes = [np.unique(np.concatenate(votes, axis=1), axis=1)]
         v = np.concatenate(votes, axis=1)
         v = v[:, (np.bincount(v[0]) >= consensus)[v[0]]] if v.shape[1] else v
-        pair = _agreeing(*v, consensus)
+        need = np.maximum(consensus, np.ceil(SHARE * np.minimum(own[v[0] // len(ids)], many[v[0] % len(ids)])).astype(np.int64))
+        pair = _agreeing(*v, need)
         a, b = names[pair // len(ids)], ids[pair % len(ids)]
         yield np.minimum(a, b), np.maximum(a, b)
         at = end
 
 
+def _bytes(descs: pa.Array) -> np.ndarray:
+    edges = np.frombuffer(descs.buffers()[1], np.int32, len(descs) + 1, 4 * descs.offset)
+    return np.frombuffer(descs.buffers()[2], np.uint8, edges[-1] - edges[0], edges[0]).reshape(len(descs), BITS // 8)
+
+
 def _blocks(consensus: int):
     """Links of one pair of blocks; the corners of the pair are one table."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("cid")
-        rows = {c: t.column(c).to_numpy() for c in ("block", "cid", "corner", "y", "x", "scale", "angle")}
-        raw = np.frombuffer(b"".join(t.column("desc").to_pylist()), np.uint8).reshape(t.num_rows, BITS // 8)
-        rows |= {"desc": raw.view(np.uint64), "word": raw.view(f"u{BITS // 8 // BANDS}")}
         low, high = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        left = {k: v[rows["block"] == low] for k, v in rows.items()}
-        right = left if low == high else {k: v[rows["block"] == high] for k, v in rows.items()}
+        block, cid = t.column("block").to_numpy(), t.column("cid").to_numpy()
+        raw = np.concatenate([_bytes(c) for c in t.column("desc").chunks])
+
+        def corners(of: int) -> dict[str, np.ndarray]:
+            at = np.flatnonzero(block == of)
+            at = at[np.argsort(cid[at], kind="stable")]
+            desc = raw[at]
+            rows = {c: t.column(c).to_numpy()[at] for c in ("cid", "corner", "y", "x", "scale", "angle")}
+            return rows | {"desc": desc.view(np.uint64), "word": desc.view(f"u{BITS // 8 // BANDS}")}
+
+        left = corners(low)
+        right = left if low == high else corners(high)
+        del raw
         found = list(_linked(left, right, consensus))
         cat = lambda k: pa.array(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64), pa.int64())
         return pa.table({"a": cat(0), "b": cat(1)})
@@ -291,11 +330,16 @@ def copies(spark: SparkSession, media: DataFrame, consensus: int = CONSENSUS) ->
 
     with Scratch(spark, "media") as scratch, arrow_rows(spark, 1000):
         media = media.select(F.col("media_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), "pixels")
-        marked = scratch.table(media.mapInArrow(digest, "media_id long, width int, height int, pixels binary, cid long"), "marked")
+        seen = media.mapInArrow(digest, "media_id long, width int, height int, pixels binary, cid long")
+        marked = scratch.table(seen.select("media_id", "cid"), "marked")
         some = marked.where("cid IS NOT NULL")
         reps = some.groupBy("cid").agg(F.min("media_id").alias("rep"))
-        one = some.join(reps, "cid").where("media_id = rep").dropDuplicates(["cid"])
-        corners = scratch.table(one.select("cid", "width", "height", "pixels").mapInArrow(_corners, CORNER), "corners")
+        copies_ = scratch.table(some.groupBy("cid").agg(F.count("*").alias("n"), F.min("media_id").alias("media_id")).where("n > 1").select("cid", "media_id"), "several")
+        # images that stand once go on as they are; of the others, one row each
+        single = seen.where("cid IS NOT NULL").join(copies_.select("cid"), "cid", "left_anti")
+        one = seen.join(copies_, ["cid", "media_id"]).dropDuplicates(["cid"])
+        one = single.select("cid", "width", "height", "pixels").unionByName(one.select("cid", "width", "height", "pixels"))
+        corners = scratch.table(one.mapInArrow(_corners, CORNER), "corners")
         links = scratch.table(linked(corners, consensus), "links")
         parts = connected_components(links, scratch)
         degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("n_links"))
