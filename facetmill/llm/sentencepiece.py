@@ -3,7 +3,7 @@
 The model file gives pieces with scores; the segmentation of a text is the sequence of pieces with
 the greatest sum of scores, found left to right over the matches of a double-array trie of the pieces'
 UTF-8 bytes. A character that no piece covers costs the least score less UNKNOWN_PENALTY and is
-written as its byte pieces. White space becomes the marker U+2581, with one marker put in front.
+written as its byte pieces. Spaces (U+0020, no other white space) become the marker U+2581, with one marker put in front.
 Decoding joins pieces and bytes, turns markers to spaces and drops the one in front.
 
 Decoding what was encoded gives the text back exactly: a literal U+2581 is written as bytes, so it
@@ -12,7 +12,7 @@ each run of spaces and the parts encoded on their own; equal parts of a batch ar
 model with markers elsewhere the text is encoded whole.
 
 Edge cases: a null text has null ids, an empty one none; very long texts and words are linear in time
-and memory; repeated rows are encoded alike; an empty table gives no rows; other columns stay as they are.
+and memory; repeated rows are encoded alike; an empty table gives no rows; other columns stay as they are, but for those with the names of the new ones.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetmill.llm.names import free
+from facetmill.sources.scratch import small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -406,9 +409,11 @@ def decoded(docs: DataFrame, path: str = MODEL, column: str = "ids", to: str = "
 
 
 def with_tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """docs with ids, n_tokens and exact (whether decoding gives the text back; null for null)."""
-    out = decoded(encoded(docs, path), path, to="_again")
-    return out.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("exact", F.col("_again") == F.col("text")).drop("_again")
+    """docs with ids, n_tokens and exact (whether decoding gives the text back; null for null), in place of columns of these names."""
+    small_batches(docs.sparkSession)
+    again = free("_again", docs)
+    out = decoded(encoded(docs, path), path, to=again)
+    return out.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("exact", F.col(again) == F.col("text")).drop(again)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.sources.scratch import Scratch
+from facetmill.sources.scratch import Scratch, small_batches
 
 #: Fixed by the contract: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -194,6 +194,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     text = F.when(F.instr("url", "://") > 0, F.concat("host", F.substring(F.col("url"), F.instr("url", "://") + 3 + F.length("host"), F.length("url"))))
     examples = known.where("rule IS NOT NULL").select(text.alias("url"), (F.col("said") == "allow").alias("accepted"))
     apart = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    small_batches(pages.sparkSession)
     with Scratch(pages.sparkSession, "urls") as scratch:
         kept = scratch.table(entries(examples.where(~apart)), "model")
         sizes = {r.accepted: r["count"] for r in kept.groupBy("accepted").count().collect()}
