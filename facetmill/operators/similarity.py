@@ -58,14 +58,15 @@ def assign(rows: DataFrame, centres: np.ndarray, vector: str, key: str = "record
     return rows.select(key, F.col(vector).alias("v")).mapInPandas(run, f"{key} long, cluster int, similarity double")
 
 
-def spherical_kmeans(rows: DataFrame, k: int, key: str, vector: str, rounds: int = 25, seed: int = 27) -> np.ndarray:
-    """k x d unit centres. Starts from the k rows of smallest seeded hash; stops when no centre moves.
+def spherical_kmeans(rows: DataFrame, k: int, key: str, vector: str, rounds: int = 25, seed: int = 27, first: np.ndarray | None = None) -> np.ndarray:
+    """k x d unit centres. Starts from given ones or the k rows of smallest seeded hash; stops when no centre moves.
 
     A round is one pass: batches return sums per cluster, k * d numbers each, added before they leave the task.
     Clusters that lose all rows keep their centre.
     """
-    first = rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k).select(vector).collect()
-    c = np.array([r[0] for r in first], dtype=np.float64)
+    if first is None:
+        first = [r[0] for r in rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k).select(vector).collect()]
+    c = np.array(first, dtype=np.float64)
     c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     spark = rows.sparkSession
     for _ in range(rounds):

@@ -8,36 +8,38 @@ from pyspark.sql.window import Window
 
 from facetmill.sources.scratch import Scratch
 
-MAX_DEPTH = 64
-
 
 def levels(nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """nodes (node, parent; null for roots) with ``level``, 0 for roots. Nodes on a cycle, or below none, are left out."""
-    nodes = scratch.table(nodes, "nodes") if scratch else nodes
+    """nodes (node, parent; null for roots) with ``level``, 0 for roots. Nodes on a cycle, or below none, are left out.
+
+    A level is a written table, so plans don't grow with the depth; the tree may be of any depth.
+    """
+    scratch = scratch or Scratch(nodes.sparkSession, "levels")
+    nodes = scratch.table(nodes, "nodes")
     front = nodes.where("parent IS NULL").withColumn("level", F.lit(0))
-    out = front
-    for depth in range(1, MAX_DEPTH):
+    out, depth = front, 0
+    while True:
+        depth += 1
         up = front.select(F.col("node").alias("parent"))
-        front = nodes.join(up, "parent", "left_semi").withColumn("level", F.lit(depth)).select(*out.columns)
-        front = scratch.table(front, "level") if scratch else front
+        front = scratch.table(nodes.join(up, "parent", "left_semi").withColumn("level", F.lit(depth)).select(*out.columns), "level")
         if not front.head(1):
             return out
         out = out.unionByName(front)
-    raise ValueError(f"the tree is deeper than {MAX_DEPTH}")
 
 
 def ancestors(nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(node, ancestor, steps) for every node and itself at 0, by doubling: as many rounds as the log of the depth."""
+    """(node, ancestor, steps) for every node and itself at 0, by doubling: as many rounds as the log of the depth.
+
+    jump holds the pairs 2**r steps apart; those of up (under 2**r steps) go on by one jump each, so no pair comes twice.
+    """
+    scratch = scratch or Scratch(nodes.sparkSession, "ancestors")
     up = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps"))
-    jump = nodes.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
+    jump = scratch.table(nodes.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")), "jump")
     while jump.head(1):
         more = jump.select(F.col("node").alias("_m"), F.col("ancestor").alias("_a"), F.col("steps").alias("_s"))
-        reach = up.join(more, up.ancestor == more._m).select("node", F.col("_a").alias("ancestor"), (F.col("steps") + F.col("_s")).alias("steps"))
-        up = up.unionByName(reach).distinct()
-        far = jump.join(more, jump.ancestor == more._m).select("node", F.col("_a").alias("ancestor"), (F.col("steps") + F.col("_s")).alias("steps"))
-        jump = far
-        if scratch:
-            up, jump = scratch.table(up, "up"), scratch.table(jump, "jump")
+        on = lambda t: t.join(more, t.ancestor == more._m).select("node", F.col("_a").alias("ancestor"), (F.col("steps") + F.col("_s")).alias("steps"))
+        up = scratch.table(up.unionByName(on(up)), "up")
+        jump = scratch.table(on(jump), "jump")
     return up
 
 
@@ -61,27 +63,26 @@ def ordinals(nodes: DataFrame, counts: DataFrame) -> DataFrame:
 
 def paths(nodes: DataFrame, counts: DataFrame, facet: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """node, level, path: f{facet}.{ordinal of root}.{ordinal of child}..."""
-    o = ordinals(nodes, counts)
-    o = scratch.table(o, "ordinals") if scratch else o
+    scratch = scratch or Scratch(nodes.sparkSession, "paths")
+    o = scratch.table(ordinals(nodes, counts), "ordinals")
     front = o.where("parent IS NULL").select("node", F.lit(0).alias("level"), F.concat(F.lit(f"f{facet}."), F.col("ordinal").cast("string")).alias("path"))
-    out = front
-    for depth in range(1, MAX_DEPTH):
+    out, depth = front, 0
+    while True:
+        depth += 1
         up = front.select(F.col("node").alias("parent"), F.col("path").alias("_p"))
-        front = o.where("parent IS NOT NULL").join(up, "parent").select("node", F.lit(depth).alias("level"), F.concat("_p", F.lit("."), F.col("ordinal").cast("string")).alias("path"))
-        front = scratch.table(front, "paths") if scratch else front
+        front = scratch.table(o.where("parent IS NOT NULL").join(up, "parent").select("node", F.lit(depth).alias("level"), F.concat("_p", F.lit("."), F.col("ordinal").cast("string")).alias("path")), "paths")
         if not front.head(1):
             return out
         out = out.unionByName(front)
-    raise ValueError(f"the tree is deeper than {MAX_DEPTH}")
 
 
 def record_paths(leaf_paths: DataFrame, members: DataFrame) -> DataFrame:
-    """record_id, url_path: the chain of paths from the facet to the leaf, the leaf's conversations, the record's place there."""
+    """record_id, url_path: the chain of paths from the facet to the leaf, the leaf again with its conversations open, the record's place there."""
     w = Window.partitionBy("node").orderBy("record_id")
     m = members.withColumn("_i", F.row_number().over(w) - 1).join(leaf_paths, "node")
     parts = F.split("path", r"\.")
     chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
-    url = F.concat(F.array_join(chain, ","), F.lit("$c,c!"), F.col("path"), F.lit("!"), F.col("_i").cast("string"))
+    url = F.concat(F.array_join(chain, ","), F.lit(","), F.col("path"), F.lit("$c,c!"), F.col("path"), F.lit("!"), F.col("_i").cast("string"))
     return m.select("record_id", url.alias("url_path"))
 
 

@@ -72,6 +72,16 @@ def facet_table(spark: SparkSession, facets: list[Facet]) -> DataFrame:
     return spark.createDataFrame(rows, "facet_id int, name string, question string, prefill string, summary_criteria string, numeric struct<lo:int,hi:int>, of_record boolean")
 
 
+def clusterable(values: DataFrame, facets: DataFrame) -> DataFrame:
+    """Values (facet_id, ...) of the facets that have criteria for naming clusters, with the facet's name."""
+    return values.join(F.broadcast(facets.where("summary_criteria IS NOT NULL").select("facet_id", "name")), "facet_id")  # from the driver's list
+
+
+def unique_children(kids: DataFrame) -> DataFrame:
+    """parent_id, n (different names and summaries of its children, whatever their case), name and summary of the first."""
+    return kids.groupBy("parent_id").agg(F.countDistinct(F.lower("name"), F.lower("summary")).alias("n"), F.min_by("name", "cluster_id").alias("name"), F.min_by("summary", "cluster_id").alias("summary"))
+
+
 def text_records(rows: DataFrame) -> DataFrame:
     """(record_id, text) as records; conversations come from records.truncated."""
     return rows.select("record_id", "text")
@@ -178,7 +188,7 @@ def next_level(level: DataFrame, config: Config, first_id: int, scratch: Scratch
     keys = links.select("key").distinct().withColumn("parent_id", (F.row_number().over(Window.orderBy("key")) + (first_id - 1)).cast("int"))  # a few names a level
     links = scratch.table(links.join(keys, "key").select("cluster_id", "parent_id"), "parents")
     kids = level.join(links, "cluster_id")
-    unique = kids.groupBy("parent_id").agg(F.countDistinct(F.lower("name"), F.lower("summary")).alias("n"), F.min_by("name", "cluster_id").alias("name"), F.min_by("summary", "cluster_id").alias("summary"))
+    unique = unique_children(kids)
     several = kids.join(unique.where("n > 1").select("parent_id"), "parent_id", "left_semi").withColumn("value", T.name_summary(F.col("name"), F.col("summary")))
     shown = _picked(several, ["parent_id"], "value", 10, config, "children")
     rows = shown.select("parent_id", F.explode(F.sequence(F.lit(0), F.lit(config.name_samples - 1))).alias("sample"), prompts.rename(F.col("children")).alias("prompt"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,7 +49,8 @@ u AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED P
 g AS (SELECT conv_id, sum(n) AS total, max(turn) FILTER (role = 'assistant' AND upto <= 2000) AS last, min(turn) FILTER (role = 'assistant') AS first,
   string_agg(line, chr(10) ORDER BY turn) AS whole FROM u GROUP BY conv_id)
 SELECT g.conv_id AS record_id, CASE WHEN length(whole) < 3000 OR total < 2000 THEN 'all' WHEN last IS NOT NULL THEN 'prefix' WHEN first IS NOT NULL THEN 'cut' ELSE 'none' END AS kind,
-  CASE WHEN length(whole) < 3000 OR total < 2000 THEN whole WHEN last IS NOT NULL THEN (SELECT string_agg(line, chr(10) ORDER BY turn) FROM u WHERE u.conv_id = g.conv_id AND u.turn <= g.last) WHEN first IS NULL THEN '' END AS text
+  CASE WHEN length(whole) < 3000 OR total < 2000 THEN whole WHEN last IS NOT NULL THEN (SELECT string_agg(line, chr(10) ORDER BY turn) FROM u WHERE u.conv_id = g.conv_id AND u.turn <= g.last) WHEN first IS NULL THEN ''
+  ELSE (SELECT array_to_string(list_filter(regexp_split_to_array(string_agg(line, chr(10) ORDER BY turn), '\s+'), lambda x: x <> '')[1:2000], ' ') FROM u WHERE u.conv_id = g.conv_id AND u.turn <= g.first) END AS text
 FROM g""")
 def conversation_truncate(spark, d):
     turns = _t(spark, d, "conversations")
@@ -59,10 +63,10 @@ def conversation_truncate(spark, d):
         F.max((F.col("role") == "assistant") & (F.col("upto") <= 2000)).alias("fits"), F.max(F.col("role") == "assistant").alias("any"))
     kind = F.when((F.col("chars") < 3000) | (F.col("total") < 2000), "all").when(F.col("fits"), "prefix").when(F.col("any"), "cut").otherwise("none")
     out = kept.join(facts, kept.record_id == facts.conv_id).withColumn("kind", kind)
-    return out.select("record_id", "kind", F.when(F.col("kind") != "cut", F.col("text")).alias("text"))
+    return out.select("record_id", "kind", "text")
 
 
-@query("conversation_json")
+@query("conversation_json", "SELECT conv_id AS record_id, to_json(list({'role': role, 'content': text} ORDER BY turn))::VARCHAR AS json FROM conversations GROUP BY conv_id")
 def conversation_json(spark, d):
     return records.conversations(_t(spark, d, "conversations")).select("record_id", T.turns_json(F.col("turns")).alias("json"))
 
@@ -92,20 +96,21 @@ def clean_trailing_tags(spark, d):
 
 
 @query("extract_tag", r"""
-SELECT doc_id, doc_id % 3 <> 1 AND doc_id % 3 <> 2 AS found, regexp_replace(substr(text, 1, 200), '^\s+|\s+$', '', 'g') AS value FROM documents""")
+SELECT doc_id, doc_id % 3 <> 1 AND doc_id % 3 <> 2 AS found, regexp_replace(text, '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS value FROM documents""")
 def extract_tag(spark, d):
     k = F.col("doc_id") % 3
-    wrapped = F.concat(F.when(k == 1, "").otherwise("<Answer> "), F.substring("text", 1, 200), F.when(k == 2, "").otherwise(" </ANSWER> tail"))
+    wrapped = F.concat(F.when(k == 1, "").otherwise("<Answer> "), F.col("text"), F.when(k == 2, "").otherwise(" </ANSWER> tail"))
     t = T.tag_value(wrapped, "answer")
     return _t(spark, d, "documents").select("doc_id", t["found"].alias("found"), t["value"].alias("value"))
 
 
 @query("numbered_list_explode", r"""
-WITH w AS (SELECT doc_id, unnest([substr(text, 1, 20), 'x' || substr(text, 21, 20)]) AS s, unnest([1, 2])::BIGINT AS pos FROM documents)
-SELECT doc_id, pos, regexp_replace(replace(s, chr(10), ' '), '^\s+|\s+$', '', 'g') AS item FROM w WHERE NOT (pos = 1 AND regexp_replace(replace(s, chr(10), ' '), '\s', '', 'g') = '')""")
+WITH w AS (SELECT doc_id, unnest([substr(text, 1, length(text) // 2), 'x' || substr(text, length(text) // 2 + 1)]) AS s, unnest([1, 2])::BIGINT AS pos FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, pos, regexp_replace(replace(s, chr(10), ' '), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS item FROM w""")
 def numbered_list_explode(spark, d):
-    line = lambda a, b: F.regexp_replace(F.substring("text", a, b), "\n", " ")
-    text = F.concat(F.lit("<answer>\n1. "), line(1, 20), F.lit("\n\n2. x"), line(21, 20), F.lit("\n</answer>"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    line = lambda a, b: F.replace(F.substring(F.col("text"), a, b), F.lit("\n"), F.lit(" "))
+    text = F.concat(F.lit("<answer>\n1. "), line(F.lit(1), half), F.lit("\n\n2. x"), line(half + 1, F.length("text")), F.lit("\n</answer>"))
     return _t(spark, d, "documents").select("doc_id", F.posexplode(T.numbered_list(text)).alias("p", "item")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "item")
 
 
@@ -117,9 +122,9 @@ def summary_name_pairs(spark, d):
     return _t(spark, d, "documents").select("doc_id", s["summary"].alias("summary"), s["name"].alias("name"))
 
 
-@query("facet_value_parse", r"""SELECT doc_id, regexp_replace(substr(text, 1, 100), '^\s+|\s+$', '', 'g') AS value FROM documents""")
+@query("facet_value_parse", r"""SELECT doc_id, regexp_replace(text, '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS value FROM documents""")
 def facet_value_parse(spark, d):
-    text = F.concat(F.substring("text", 1, 100), F.when(F.col("doc_id") % 2 == 0, "</answer> and more").otherwise("</summary>"))
+    text = F.concat("text", F.when(F.col("doc_id") % 2 == 0, "</answer> and more").otherwise("</summary>"))
     return _t(spark, d, "documents").select("doc_id", T.facet_value(text).alias("value"))
 
 
@@ -132,11 +137,41 @@ def duration_words(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", T.duration((F.col("o_orderkey") * 7919) % 200000).alias("words"))
 
 
-@query("facet_prompts", "SELECT c.conv_id AS record_id, f.facet_id, '<' || f.q || '>' || c.r AS prompt FROM (SELECT conv_id, string_agg(role || ':' || chr(10) || text, chr(10) ORDER BY turn) AS r FROM conversations GROUP BY conv_id) c CROSS JOIN (VALUES (0, 'What is asked?'), (1, 'Which language?')) f(facet_id, q)")
+def _template_sql(template: str, **values: str) -> str:
+    """The template as SQL, with an expression for each {name}."""
+    parts = re.split(r"(\{\w+\})", template)
+    return " || ".join(values[x[1:-1]] if x.startswith("{") else "'" + x.replace("'", "''") + "'" for x in parts if x)
+
+
+_QUESTIONS = "(VALUES (0, 'What is asked?', 'It asks'), (1, 'Which language?', '')) f(facet_id, q, p)"
+
+
+@query("facet_prompts", f"SELECT c.conv_id AS record_id, f.facet_id, {_template_sql(prompts.FACET, conversation='c.r', question='f.q', prefill='f.p')} AS prompt FROM (SELECT conv_id, string_agg(role || ':' || chr(10) || text, chr(10) ORDER BY turn) AS r FROM conversations GROUP BY conv_id) c CROSS JOIN {_QUESTIONS}")
 def facet_prompts(spark, d):
-    facets = spark.createDataFrame([(0, "What is asked?"), (1, "Which language?")], "facet_id int, question string")
-    rows = records.conversations(_t(spark, d, "conversations")).select("record_id", T.render_turns(F.col("turns")).alias("r")).crossJoin(F.broadcast(facets))
-    return rows.select("record_id", "facet_id", prompts.filled("<{q}>{r}", q=F.col("question"), r=F.col("r")).alias("prompt"))
+    facets = spark.createDataFrame([(0, "What is asked?", "It asks"), (1, "Which language?", "")], "facet_id int, question string, prefill string")
+    rows = records.conversations(_t(spark, d, "conversations")).select("record_id", T.render_turns(F.col("turns")).alias("r")).crossJoin(F.broadcast(facets))  # a list of two
+    return rows.select("record_id", "facet_id", prompts.facet(F.col("r"), F.col("question"), F.col("prefill")).alias("prompt"))
+
+
+@query("record_prompts", f"SELECT doc_id AS record_id, {_template_sql(prompts.RECORD, record='coalesce(text, chr(0)[1:0])')} AS prompt FROM documents")
+def record_prompts(spark, d):
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("record_id"), prompts.record(F.col("text")).alias("prompt"))
+
+
+@query("cluster_prompts", f"""WITH m AS (SELECT lang, string_agg(DISTINCT source, chr(10) ORDER BY source) AS own FROM documents GROUP BY lang),
+o AS (SELECT m.lang, string_agg(DISTINCT d.lang, chr(10) ORDER BY d.lang) AS others FROM m JOIN documents d ON d.lang <> m.lang GROUP BY m.lang)
+SELECT lang, {_template_sql(prompts.CLUSTER, members='own', outsiders='others', criteria="'Name it.'")} AS cluster_prompt,
+{_template_sql(prompts.HIGHER, clusters='own', n="'4'", low="'2'", high="'6'")} AS higher_prompt, {_template_sql(prompts.DEDUP, names='own', n="'6'")} AS dedup_prompt,
+{_template_sql(prompts.ASSIGN, choices='others', cluster='lang')} AS assign_prompt, {_template_sql(prompts.RENAME, children='own')} AS rename_prompt FROM m JOIN o USING (lang)""")
+def cluster_prompts(spark, d):
+    docs = _t(spark, d, "documents")
+    own = docs.groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("own"))
+    langs = own.agg(F.array_sort(F.collect_set("lang")).alias("all"))
+    rows = own.crossJoin(F.broadcast(langs)).withColumn("others", F.array_remove("all", F.col("lang")))  # one row
+    n = F.lit(4)
+    return rows.select(
+        "lang", prompts.cluster_name(F.col("own"), F.col("others"), F.lit("Name it.")).alias("cluster_prompt"), prompts.higher_names(F.col("own"), n).alias("higher_prompt"),
+        prompts.dedup_names(F.col("own"), n).alias("dedup_prompt"), prompts.assign(F.col("others"), F.col("lang")).alias("assign_prompt"), prompts.rename(F.col("own")).alias("rename_prompt"))
 
 
 # --- records --------------------------------------------------------------------------------------
@@ -166,9 +201,11 @@ def language_facet_semi(spark, d):
     return records.facet_is(docs, values, value="fr").select("record_id", "source")
 
 
-@query("clusterable_facets", "SELECT * FROM (VALUES (0, 'Request'), (2, 'Task')) f(facet_id, name)")
+@query("clusterable_facets", "SELECT f.facet_id, f.name, count(*) AS n FROM documents CROSS JOIN (VALUES (0, 'Request'), (2, 'Task')) f(facet_id, name) WHERE (doc_id + f.facet_id) % 4 <> 1 GROUP BY 1, 2")
 def clusterable_facets(spark, d):
-    return insight.facet_table(spark, insight.MAIN_FACETS).where("summary_criteria IS NOT NULL").select("facet_id", "name")
+    facets = insight.facet_table(spark, insight.MAIN_FACETS)
+    values = _t(spark, d, "documents").select(F.explode(F.array(*[F.lit(i) for i in range(len(insight.MAIN_FACETS))])).alias("facet_id"), "doc_id").where((F.col("doc_id") + F.col("facet_id")) % 4 != 1)
+    return insight.clusterable(values, facets).groupBy("facet_id", "name").agg(F.count("*").alias("n"))
 
 
 @query("duplicate_values", "SELECT sha256(text) AS value, count(*) AS n, list_sort(list(doc_id)) AS record_ids FROM documents GROUP BY text HAVING count(*) > 1")
@@ -272,12 +309,9 @@ SELECT cl::BIGINT AS cluster, count(*) AS n, round(sum(s), 5) AS inertia FROM a1
 
 @query("kmeans_lloyd_2", _LLOYD)
 def kmeans_lloyd_2(spark, d):
-    u = _emb(spark, d).select("vec_id", V.normalised(F.col("v")).alias("u"))
-    first = u.orderBy("vec_id").limit(8).collect()
-    cents = spark.createDataFrame([(i, r.u) for i, r in enumerate(first)], "cluster int, centroid array<double>")
-    at = similarity.nearest_centroid(u, cents, "vec_id", "u", "cluster")
-    cents = similarity.centroids(u.join(at.select("vec_id", "cluster"), "vec_id"), "cluster", "u")
-    at = similarity.nearest_centroid(u, cents, "vec_id", "u", "cluster")
+    e = _emb(spark, d)
+    first = np.array([r.v for r in e.orderBy("vec_id").limit(8).collect()])
+    at = similarity.assign(e, similarity.spherical_kmeans(e, 8, "vec_id", "v", rounds=1, first=first), "v", "vec_id")
     return at.groupBy(F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n"), F.round(F.sum("similarity"), 5).alias("inertia"))
 
 
@@ -375,7 +409,7 @@ def tree_paths(spark, d):
     return tree.paths(_nodes(spark, d), _counts(spark, d))
 
 
-@query("record_paths", f"{_PATHS} SELECT c_custkey AS record_id, 'f0,' || regexp_extract(path, '^f0\\.[0-9]+') || ',' || path || '$c,c!' || path || '!' || (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) AS url_path FROM customer JOIN p ON p.node = 100 + c_nationkey")
+@query("record_paths", f"{_PATHS} SELECT c_custkey AS record_id, 'f0,' || regexp_extract(path, '^f0\\.[0-9]+') || ',' || path || ',' || path || '$c,c!' || path || '!' || (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) AS url_path FROM customer JOIN p ON p.node = 100 + c_nationkey")
 def record_paths(spark, d):
     return tree.record_paths(tree.paths(_nodes(spark, d), _counts(spark, d)), _members(spark, d))
 
@@ -400,9 +434,10 @@ def drop_empty_parents(spark, d):
     return n.where("parent IS NULL").join(kids, "node", "left_semi").select("node")
 
 
-@query("single_child_parents", "SELECT c_nationkey AS parent, count(DISTINCT (lower(c_mktsegment))) AS kinds FROM customer GROUP BY c_nationkey")
+@query("single_child_parents", "SELECT c_nationkey AS parent, count(DISTINCT (lower(c_mktsegment), lower(c_name[1:10]))) AS kinds, count(DISTINCT (lower(c_mktsegment), lower(c_name[1:10]))) = 1 AS single FROM customer GROUP BY c_nationkey")
 def single_child_parents(spark, d):
-    return _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("parent")).agg(F.countDistinct(F.lower("c_mktsegment")).alias("kinds"))
+    kids = _t(spark, d, "customer").select(F.col("c_nationkey").alias("parent_id"), F.col("c_mktsegment").alias("name"), F.substring("c_name", 1, 10).alias("summary"), F.col("c_custkey").alias("cluster_id"))
+    return insight.unique_children(kids).select(F.col("parent_id").alias("parent"), F.col("n").alias("kinds"), (F.col("n") == 1).alias("single"))
 
 
 @query("chunk_packing")
