@@ -1,26 +1,36 @@
-"""Clusters of vectors: centroids, assignment, outsiders, medoids, similarity components."""
+"""Clusters of vectors: centroids, assignment, outsiders, medoids, similarity components.
+
+Centres go to all tasks only while they are CENTRES_MOST at most. More clusters than that are found in two levels:
+about the square root of their number of cells first, then those of each cell in a task of its own.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from facetmill.functions import vectors as V
 from facetmill.operators.graph import connected_components
+from facetmill.operators.records import survivor_positions
 from facetmill.sources.scratch import Scratch
 
-
-def long_form(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
-    return rows.select(*by, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+CENTRES_MOST = 4096  # that are broadcast or held by the driver
+CELL_ROWS = 50_000  # of a cell that one task clusters; larger cells are dealt by hash
+NEAR_CELLS = 3  # cells in which a row may be a near outsider
 
 
 def vector_sums(rows: DataFrame, by: str, vector: str) -> DataFrame:
-    """by, total: the sum of a group's vectors, summed within tasks by dimension, so a hot group is no hot task."""
-    s = long_form(rows, [by], vector).groupBy(by, "dim").agg(F.sum("x").alias("x"))
-    return s.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("total"))
+    """by, total: the sum of a group's vectors, added within tasks, so a hot group is no hot task."""
+    total = Summarizer.sum(array_to_vector(F.col(vector)))
+    return rows.where(F.col(vector).isNotNull()).groupBy(by).agg(total.alias("total")).select(by, vector_to_array("total").alias("total"))
 
 
 def centroids(rows: DataFrame, by: str, vector: str) -> DataFrame:
@@ -29,33 +39,53 @@ def centroids(rows: DataFrame, by: str, vector: str) -> DataFrame:
     return vector_sums(rows, by, vector).join(n, by).select(by, "n", V.normalised(F.col("total")).alias("centroid"))
 
 
+def _few(cents: DataFrame, cluster: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, centres) in order of ids, or None if they are over CENTRES_MOST."""
+    got = cents.select(cluster, "centroid").orderBy(cluster).limit(CENTRES_MOST + 1).collect()
+    return None if len(got) > CENTRES_MOST else (np.array([r[0] for r in got]), np.array([r[1] for r in got], dtype=np.float64))
+
+
 def nearest_centroid(rows: DataFrame, cents: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
-    """key, cluster, similarity: each row's most similar centroid, ties to the smaller cluster.
+    """key, cluster, similarity (the dot product): each row's most similar centroid, ties to the smaller cluster.
 
-    The centroids' side is broadcast by Catalyst while its size is under the session's threshold.
+    Few centroids are broadcast for blocked matrix products; with more, each pair is a row of a join.
     """
+    few = _few(cents, cluster)
+    if few is not None and len(few[0]):
+        at = assign(rows, few[1], vector, key, unit=False)
+        names = rows.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(few[0])], f"_i int, {cluster} {cents.schema[cluster].dataType.simpleString()}")
+        return at.join(F.broadcast(names), at["cluster"] == F.col("_i")).select(key, names[cluster], "similarity")  # CENTRES_MOST rows at most
     v, c = rows.select(key, F.col(vector).alias("_v")), cents.select(cluster, F.col("centroid").alias("_c"))
     pairs = v.crossJoin(c).select(key, cluster, V.dot(F.col("_v"), F.col("_c")).alias("_s"))
     best = pairs.groupBy(key).agg(F.min(F.struct((-F.col("_s")).alias("s"), F.col(cluster).alias("c"))).alias("b"))
     return best.select(key, F.col("b.c").alias(cluster), (-F.col("b.s")).alias("similarity"))
 
 
-def assign(rows: DataFrame, centres: np.ndarray, vector: str, key: str = "record_id") -> DataFrame:
-    """key, cluster, similarity by one blocked matrix product a batch; the centres (k x d) are broadcast, k * d numbers."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def assign(rows: DataFrame, centres: np.ndarray, vector: str, key: str = "record_id", unit: bool = True, nearest: int = 1) -> DataFrame:
+    """key, cluster, similarity by one blocked matrix product a batch; the centres (CENTRES_MOST at most) are broadcast. With
+    unit, rows are normalised first; with nearest over 1, ``cells`` holds so many of the most similar centres."""
     shared = rows.sparkSession.sparkContext.broadcast(np.asarray(centres, dtype=np.float64))
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
         for b in batches:
             if not len(b):
                 continue
             x = np.stack(b["v"].to_numpy()).astype(np.float64)
-            size = np.linalg.norm(x, axis=1, keepdims=True)
-            s = (x / np.where(size > 0, size, 1)) @ c.T
+            s = (_unit(x) if unit else x) @ c.T
             at = s.argmax(axis=1)
-            yield pd.DataFrame({key: b[key], "cluster": at, "similarity": s[np.arange(len(at)), at]})
+            out = {key: b[key], "cluster": at, "similarity": s[np.arange(len(at)), at]}
+            if nearest > 1:
+                k = min(nearest, len(c))
+                out["cells"] = list(np.argpartition(-s, k - 1, axis=1)[:, :k])
+            yield pd.DataFrame(out)
 
-    return rows.select(key, F.col(vector).alias("v")).mapInPandas(run, f"{key} long, cluster int, similarity double")
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.col(vector).alias("v")).mapInPandas(run, f"{key} {kind}, cluster int, similarity double" + (", cells array<int>" if nearest > 1 else ""))
 
 
 def spherical_kmeans(rows: DataFrame, k: int, key: str, vector: str, rounds: int = 25, seed: int = 27, first: np.ndarray | None = None) -> np.ndarray:
@@ -95,14 +125,146 @@ def spherical_kmeans(rows: DataFrame, k: int, key: str, vector: str, rounds: int
     return c
 
 
+def _local_kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cluster of each row, similarity, centres) of unit rows, in memory, in blocks."""
+    c = x[np.sort(np.random.default_rng(seed).permutation(len(x))[:k])]
+    for r in range(rounds + 1):
+        at, best = np.empty(len(x), np.int64), np.empty(len(x))
+        for i in range(0, len(x), 2048):
+            s = x[i : i + 2048] @ c.T
+            at[i : i + 2048], best[i : i + 2048] = s.argmax(axis=1), s.max(axis=1)
+        if r == rounds:
+            break
+        total = np.zeros_like(c)
+        np.add.at(total, at, x)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        new = np.where(size > 0, total / np.maximum(size, 1e-12), c)
+        if np.abs(new - c).max() < 1e-9:
+            break
+        c = new
+    return at, best, c
+
+
+def clustered(rows: DataFrame, k: int, key: str, vector: str, scratch: Scratch, rounds: int = 25, seed: int = 27) -> tuple[DataFrame, DataFrame, np.ndarray | None]:
+    """(key, cluster, similarity, cell, cells), (cluster, centroid, cell) of about k clusters, and the cells' centres.
+
+    Up to CENTRES_MOST clusters, this is spherical_kmeans with all in one cell (and no centres of cells). Beyond, cells are
+    found first and each cell, with its share of k, is clustered by one task; a cell of over CELL_ROWS rows is dealt into parts
+    by hash. The driver then holds the cells' centres alone. cells are a row's nearest cells.
+    """
+    spark = rows.sparkSession
+    if k <= CENTRES_MOST:
+        c = spherical_kmeans(rows, k, key, vector, rounds, seed)
+        cents = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(c)], "cluster int, centroid array<double>, cell int")
+        at = scratch.table(assign(rows, c, vector, key), "assigned")
+        return at.withColumn("cell", F.lit(0)).withColumn("cells", F.array(F.lit(0))), cents, None
+    coarse = spherical_kmeans(rows, min(CENTRES_MOST, math.ceil(math.sqrt(k))), key, vector, rounds, seed)
+    placed = scratch.table(assign(rows, coarse, vector, key, nearest=NEAR_CELLS).withColumnRenamed("cluster", "cell"), "cells")
+    sizes = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}  # CENTRES_MOST at most
+    share = k / sum(sizes.values())
+    parts = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, math.ceil(n / CELL_ROWS))])
+    dealt = rows.select(key, F.col(vector).alias("v")).join(placed.select(key, "cell"), key).withColumn("part", F.pmod(F.xxhash64(key), parts[F.col("cell")]).cast("int"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(key)
+        x = _unit(np.stack(p["v"].to_numpy()).astype(np.float64))
+        at, best, c = _local_kmeans(x, min(len(x), max(1, round(share * len(x)))), rounds, seed)
+        lead = np.unique(at, return_index=True)[1]
+        centre: list = [None] * len(at)
+        for i in lead:
+            centre[i] = c[at[i]]
+        return pd.DataFrame({key: p[key], "cell": p["cell"], "part": p["part"], "local": at, "similarity": best, "centroid": centre})
+
+    found = dealt.groupBy("cell", "part").applyInPandas(run, f"{key} {kind}, cell int, part int, local int, similarity double, centroid array<double>")
+    found = scratch.table(found.withColumn("_id", F.concat_ws(".", "cell", "part", "local")), "local")
+    lead = found.where("centroid IS NOT NULL").select("_id", "cell", "centroid")
+    number = scratch.table(survivor_positions(lead.select("_id")).select("_id", F.col("position").cast("int").alias("cluster")), "numbers")
+    at = found.join(number, "_id").join(placed.select(key, "cells"), key).select(key, "cluster", "similarity", "cell", "cells")
+    return scratch.table(at, "assigned"), scratch.table(lead.join(number, "_id").select("cluster", "centroid", "cell"), "centres"), coarse
+
+
+def _nearest_of(x: np.ndarray, keys: np.ndarray, own: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int, best: tuple | None):
+    """Keeps, per centre, the k nearest rows (by distance, then key) that aren't its own: arrays (centre x k) of distance and key."""
+    far = np.full((len(c), k), np.inf), np.full((len(c), k), -1, np.int64)
+    d0, k0 = far if best is None else best
+    for i in range(0, len(x), 1024):
+        part, names = x[i : i + 1024], keys[i : i + 1024]
+        rough = (part * part).sum(1)[:, None] + (c * c).sum(1) - 2 * part @ c.T
+        rough[own[i : i + 1024][:, None] == ids[None]] = np.inf
+        # near ones are measured again, for the product has lost digits
+        row, at = np.nonzero(rough <= (d0[:, -1] ** 2 * (1 + 1e-9) + 1e-9)[None])
+        row, at = (v[np.isfinite(rough[row, at])] for v in (row, at))
+        if len(row) > k * len(c):
+            order = np.argsort(rough[row, at], kind="stable")
+            order = order[np.argsort(at[order], kind="stable")]
+            place = np.arange(len(order)) - np.searchsorted(at[order], at[order])
+            keep = order[place < 2 * k]
+            row, at = row[keep], at[keep]
+        if not len(row):
+            continue
+        d = np.sqrt(((part[row] - c[at]) ** 2).sum(1))
+        all_c = np.concatenate((np.repeat(np.arange(len(c)), k), at))
+        all_d, all_k = np.concatenate((d0.ravel(), d)), np.concatenate((k0.ravel(), names[row]))
+        order = np.lexsort((all_k, all_d, all_c))
+        place = np.arange(len(order)) - np.searchsorted(all_c[order], all_c[order])
+        keep = order[place < k]
+        d0, k0 = all_d[keep].reshape(len(c), k), all_k[keep].reshape(len(c), k)
+    return d0, k0
+
+
+def _rows_of(best: tuple, ids: np.ndarray, cluster: str, key: str) -> pd.DataFrame:
+    d, names = best
+    at, place = np.nonzero(np.isfinite(d))
+    return pd.DataFrame({cluster: ids[at], key: names[at, place], "distance": d[at, place]})
+
+
 def outsiders(rows: DataFrame, cents: DataFrame, key: str, vector: str, cluster: str, k: int) -> DataFrame:
-    """cluster, rank, key, distance: of each cluster the k rows outside it that are nearest to its centroid."""
-    c = cents.select(F.col(cluster).alias("_cl"), F.col("centroid").alias("_c"))
-    d = rows.join(c, F.col(cluster) != F.col("_cl")).select(F.col("_cl").alias(cluster), F.col(key), V.euclidean(F.col(vector), F.col("_c")).alias("distance"))
+    """cluster, rank, key, distance: of each cluster the k rows outside it that are nearest to its centroid, ties to the smaller key.
+
+    Few centroids are broadcast and a task returns its own k best of each; with more, each pair is a row of a join.
+    """
+    few = _few(cents, cluster)
+    if few is not None and len(few[0]):
+        shared = rows.sparkSession.sparkContext.broadcast(few)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            (ids, c), best = shared.value, None
+            for b in batches:
+                if len(b):
+                    best = _nearest_of(np.stack(b["v"].to_numpy()).astype(np.float64), b[key].to_numpy(), b[cluster].to_numpy(), ids, c, k, best)
+            if best is not None:
+                yield _rows_of(best, ids, cluster, key)
+
+        kind = cents.schema[cluster].dataType.simpleString()
+        d = rows.select(F.col(key).cast("long"), cluster, F.col(vector).alias("v")).mapInPandas(run, f"{cluster} {kind}, {key} long, distance double")
+    else:
+        c = cents.select(F.col(cluster).alias("_cl"), F.col("centroid").alias("_c"))
+        d = rows.join(c, F.col(cluster) != F.col("_cl")).select(F.col("_cl").alias(cluster), F.col(key), V.euclidean(F.col(vector), F.col("_c")).alias("distance"))
     rank = F.row_number().over(Window.partitionBy(cluster).orderBy("distance", key))
     return d.withColumn("rank", rank).where(F.col("rank") <= k).select(cluster, "rank", key, "distance")
 
 
+def cell_outsiders(rows: DataFrame, cents: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """The same of ``clustered`` rows (key, cluster, vector, cells) and centres (cluster, centroid, cell): only rows that have a
+    centre's cell among their nearest are looked at, so no row meets all centres. With one cell this is exact."""
+    near = rows.select(F.col(key).cast("long").alias(key), "cluster", F.col(vector).alias("v"), F.explode("cells").alias("cell"))
+    near = near.withColumn("part", F.pmod(F.xxhash64(key), F.lit(1 << 20)))
+    sizes = near.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
+    near = near.join(sizes, "cell").withColumn("part", F.pmod("part", F.col("parts")).cast("int"))
+    c = cents.join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("cluster").alias("id"), "centroid")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"cluster": [], key: [], "distance": []}).astype({"cluster": "int32", key: "int64", "distance": "float64"})
+        ids, centres = b["id"].to_numpy(), np.stack(b["centroid"].to_numpy())
+        return _rows_of(_nearest_of(np.stack(a["v"].to_numpy()).astype(np.float64), a[key].to_numpy(), a["cluster"].to_numpy(), ids, centres, k, None), ids, "cluster", key)
+
+    d = near.groupBy("cell", "part").cogroup(c.groupBy("cell", "part")).applyInPandas(run, f"cluster int, {key} long, distance double")
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("distance", key))
+    return d.withColumn("rank", rank).where(F.col("rank") <= k).select("cluster", "rank", key, "distance")
+
+
 def medoids(rows: DataFrame, by: str, key: str, vector: str) -> DataFrame:
     """by, medoid, total_distance: the member of least summed cosine distance, by n - v . sum(v), so linear; ties to the smaller key."""
     unit = rows.select(by, key, V.normalised(F.col(vector)).alias("_u"))
@@ -123,16 +285,50 @@ def best_pair(groups: DataFrame, candidates: DataFrame, by: str, key: str, vecto
     return near.groupBy(by, "best_b").agg(F.min(F.struct((-F.col("s")).alias("s"), "a")).alias("t")).select(by, "best_b", F.col("t.a").alias("best_a"))
 
 
-def cosine_pairs(rows: DataFrame, key: str, vector: str, tau: float, block_rows: int = 2048) -> DataFrame:
+BLOCK_ROWS = 2048
+PIVOTS = 256
+
+
+def _blocks(rows: DataFrame, key: str, vector: str, scratch: Scratch) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (id, u, blk) in blocks of about BLOCK_ROWS, each of one cell around a pivot; and, per block, its cell, the cells' pivots and radii (angles)."""
+    n = rows.count()
+    pivots = [r[0] for r in rows.orderBy(F.xxhash64(key), key).limit(max(1, min(PIVOTS, n // BLOCK_ROWS))).select(V.normalised(F.col(vector))).collect()]
+    p = np.array(pivots, dtype=np.float64)
+    unit = rows.select(F.col(key).cast("long").alias("id"), V.normalised(F.col(vector)).alias("u"))
+    if len(p) < 2:
+        return unit.withColumn("blk", F.lit(0)), np.zeros(1, np.int64), p, np.full(len(p), np.pi)
+    at = scratch.table(assign(unit, p, "u", "id"), "cells")
+    cells = at.groupBy("cluster").agg(F.count("*").alias("n"), F.min("similarity").alias("low")).collect()  # PIVOTS at most
+    radius, first, of = np.zeros(len(p)), {}, []
+    for r in sorted(cells, key=lambda r: r.cluster):
+        radius[r.cluster] = math.acos(max(-1.0, min(1.0, r.low))) + 1e-6
+        blocks = math.ceil(r.n / BLOCK_ROWS)
+        first[r.cluster] = (len(of), blocks)
+        of += [r.cluster] * blocks
+    start = F.create_map(*[F.lit(x) for c, (i, _) in first.items() for x in (c, i)])
+    many = F.create_map(*[F.lit(x) for c, (_, m) in first.items() for x in (c, m)])
+    blk = (start[F.col("cluster")] + F.pmod(F.xxhash64("id"), many[F.col("cluster")])).cast("int")
+    return unit.join(at.select("id", blk.alias("blk")), "id"), np.array(of), p, radius
+
+
+def _dealt(blocks: tuple, angle: float, own: bool = True) -> DataFrame:
+    """lo, hi, blk, id, u: each row once for each pair of blocks that may hold rows within an angle: by the triangle
+    inequality, not those whose pivots are further apart than it and both radii."""
+    rows, of, p, radius = blocks
+    apart = np.arccos(np.clip(p @ p.T, -1, 1))
+    meet = (apart <= radius[:, None] + radius[None] + angle)[of][:, of] if len(p) > 1 else np.ones((len(of), len(of)), bool)
+    meet = rows.sparkSession.sparkContext.broadcast([np.flatnonzero(m if own else m & (np.arange(len(m)) != i)).tolist() for i, m in enumerate(meet)])  # a list of block numbers a block
+    others = F.pandas_udf(lambda b: b.map(meet.value.__getitem__), "array<int>")
+    return rows.withColumn("o", F.explode(others("blk"))).select(F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "id", "u")
+
+
+def cosine_pairs(rows: DataFrame, key: str, vector: str, tau: float, scratch: Scratch | None = None) -> DataFrame:
     """a, b, distance: all pairs a < b of cosine distance at most tau, exactly.
 
-    Rows are cut in blocks and a task takes two blocks at a time, as one matrix product; only pairs within
-    tau leave it.
+    Rows are cut in blocks around pivots and a task takes two blocks at a time, as one matrix product; pairs of blocks that
+    the triangle inequality excludes are left out, and only pairs within tau leave a task.
     """
-    n = rows.count()
-    blocks = max(1, -(-n // block_rows))
-    unit = rows.select(F.col(key).cast("long").alias("id"), V.normalised(F.col(vector)).alias("u")).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = unit.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "id", "u")
+    blocks = _blocks(rows, key, vector, scratch or Scratch(rows.sparkSession, "pairs"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         x, ids, blk = np.stack(p["u"].to_numpy()), p["id"].to_numpy(), p["blk"].to_numpy()
@@ -144,12 +340,13 @@ def cosine_pairs(rows: DataFrame, key: str, vector: str, tau: float, block_rows:
         out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d[i, j]})
         return out.drop_duplicates(["a", "b"])
 
+    dealt = _dealt(blocks, math.acos(max(-1.0, min(1.0, 1 - tau))) + 1e-6)
     return dealt.groupBy("lo", "hi").applyInPandas(run, "a long, b long, distance double")
 
 
 def similarity_components(rows: DataFrame, key: str, vector: str, tau: float, scratch: Scratch) -> DataFrame:
     """key, component: single-link groups under tau; the component is its smallest key."""
-    pairs = scratch.table(cosine_pairs(rows, key, vector, tau).select("a", "b"), "pairs")
+    pairs = scratch.table(cosine_pairs(rows, key, vector, tau, scratch).select("a", "b"), "pairs")
     parts = connected_components(pairs, scratch)
     return rows.select(F.col(key)).join(parts.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("component", key).alias("component"))
 
@@ -166,12 +363,10 @@ def embedding_dedup(rows: DataFrame, key: str, vector: str, tau: float, scratch:
     return out
 
 
-def closest_pair(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """a, b, similarity: the two different rows most alike, ties to the smaller keys. Blocks return their own best pair only."""
-    n = rows.count()
-    blocks = max(1, -(-n // 2048))
-    unit = rows.select(F.col(key).cast("long").alias("id"), V.normalised(F.col(vector)).alias("u")).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = unit.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "id", "u")
+def closest_pair(rows: DataFrame, key: str, vector: str, scratch: Scratch | None = None) -> DataFrame:
+    """a, b, similarity: the two different rows most alike, ties to the smaller keys. Blocks return their own best pair only;
+    the best within one block bounds which pairs of blocks are looked at."""
+    blocks = _blocks(rows, key, vector, scratch or Scratch(rows.sparkSession, "closest"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         x, ids, blk = np.stack(p["u"].to_numpy()), p["id"].to_numpy(), p["blk"].to_numpy()
@@ -184,4 +379,11 @@ def closest_pair(rows: DataFrame, key: str, vector: str) -> DataFrame:
         out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s[i, j]})
         return out.sort_values(["a", "b"]).head(1)
 
-    return dealt.groupBy("lo", "hi").applyInPandas(run, "a long, b long, similarity double").where("similarity > -2").orderBy(F.col("similarity").desc(), "a", "b").limit(1)
+    first = lambda t: t.where("similarity > -2").orderBy(F.col("similarity").desc(), "a", "b").limit(1)
+    best = lambda dealt: dealt.groupBy("lo", "hi").applyInPandas(run, "a long, b long, similarity double")
+    inside = best(blocks[0].select(F.col("blk").alias("lo"), F.col("blk").alias("hi"), "blk", "id", "u"))
+    if len(blocks[1]) < 2:
+        return first(inside)
+    seen = first(inside).collect()
+    across = best(_dealt(blocks, math.acos(max(-1.0, min(1.0, seen[0].similarity))) + 1e-4 if seen else math.pi, own=False))
+    return first(across.unionByName(rows.sparkSession.createDataFrame(seen, across.schema)))

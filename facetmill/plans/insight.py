@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -119,9 +118,8 @@ def base_clusters(values: DataFrame, config: Config, criteria: str, scratch: Scr
     """(clusters: cluster_id, name, summary; members: cluster_id, record_id) of one facet's (record_id, value)."""
     v = scratch.table(embedded(values, config.embedder, "value"), "vectors")
     n = v.count()
-    centres = similarity.spherical_kmeans(v, min(n, config.clusters(n)), "record_id", "vec", seed=config.seed)
-    at = scratch.table(similarity.assign(v, centres, "vec").withColumnRenamed("cluster", "cluster_id"), "assigned")
-    whole = scratch.table(v.join(at, "record_id"), "members")
+    at, centres, _ = similarity.clustered(v, min(n, config.clusters(n)), "record_id", "vec", scratch, seed=config.seed)
+    whole = scratch.table(v.join(at, "record_id").withColumnRenamed("cluster", "cluster_id"), "members")
     outside = _nearest_outside(whole, centres, config.outside, scratch)
     shown = _picked(whole, ["cluster_id"], "value", config.shown_members, config, "members")
     near = outside.join(whole.select("record_id", "value"), "record_id").groupBy("cluster_id").agg(F.array_sort(F.collect_set("value")).alias("outsiders"))
@@ -132,28 +130,10 @@ def base_clusters(values: DataFrame, config: Config, criteria: str, scratch: Scr
     return scratch.table(_best_names(named, "cluster_id", config.embedder), "clusters"), whole.select("cluster_id", "record_id")
 
 
-def _nearest_outside(rows: DataFrame, centres: np.ndarray, k: int, scratch: Scratch) -> DataFrame:
-    """cluster_id, record_id: the k rows nearest to each centre that are not its own; each batch returns k a centre at most."""
-    import pandas as pd
-
-    shared = rows.sparkSession.sparkContext.broadcast(centres)
-
-    def run(batches):
-        c = shared.value
-        for b in batches:
-            if not len(b):
-                continue
-            x = np.stack(b["vec"].to_numpy()).astype(np.float64)
-            d = (x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T
-            d[np.arange(len(x)), b["cluster_id"].to_numpy()] = np.inf
-            top = np.argsort(d, axis=0, kind="stable")[:k]
-            row, cl = top.ravel(), np.tile(np.arange(len(c)), len(top))
-            ok = np.isfinite(d[row, cl])
-            yield pd.DataFrame({"cluster_id": cl[ok], "record_id": b["record_id"].to_numpy()[row[ok]], "d": d[row[ok], cl[ok]]})
-
-    near = rows.select("record_id", "cluster_id", "vec").mapInPandas(run, "cluster_id int, record_id long, d double")
-    w = Window.partitionBy("cluster_id").orderBy("d", "record_id")
-    return scratch.table(near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("cluster_id", "record_id"), "outside")
+def _nearest_outside(rows: DataFrame, centres: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """cluster_id, record_id: the k rows nearest to each centre that are not its own."""
+    near = similarity.cell_outsiders(rows.withColumnRenamed("cluster_id", "cluster"), centres, "record_id", "vec", k)
+    return scratch.table(near.select(F.col("cluster").alias("cluster_id"), "record_id"), "outside")
 
 
 def next_level(level: DataFrame, config: Config, first_id: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -161,10 +141,9 @@ def next_level(level: DataFrame, config: Config, first_id: int, scratch: Scratch
     both = level.withColumn("value", T.name_summary(F.col("name"), F.col("summary"))).withColumn("record_id", F.col("cluster_id").cast("long"))
     v = scratch.table(embedded(both, config.embedder, "value"), "names")
     n = v.count()
-    centres = similarity.spherical_kmeans(v, min(n, config.clusters(n)), "record_id", "vec", seed=config.seed)
-    at = similarity.assign(v, centres, "vec").select("record_id", F.col("cluster").alias("hood"))
-    core = v.drop("cluster_id").join(at, "record_id")
-    near = _nearest_outside(core.withColumnRenamed("hood", "cluster_id").select("record_id", "cluster_id", "vec"), centres, config.outside_neighborhood, scratch)
+    at, centres, _ = similarity.clustered(v, min(n, config.clusters(n)), "record_id", "vec", scratch, seed=config.seed)
+    core = v.drop("cluster_id").join(at.withColumnRenamed("cluster", "hood"), "record_id")
+    near = _nearest_outside(core.select("record_id", F.col("hood").alias("cluster_id"), "vec", "cells"), centres, config.outside_neighborhood, scratch)
     hood = scratch.table(core.select("hood", "record_id", "value").unionByName(near.select(F.col("cluster_id").alias("hood"), "record_id").join(v.select("record_id", "value"), "record_id")), "hoods")
     lists = hood.groupBy("hood").agg(F.array_sort(F.collect_list("value")).alias("clusters"), F.array_sort(F.collect_list("record_id")).alias("sources"))
     wanted = F.greatest(F.lit(1), F.floor(F.size("clusters") / 3)).cast("int")
