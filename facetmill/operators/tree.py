@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,49 +94,59 @@ def outline(nodes: DataFrame, counts: DataFrame, names: DataFrame, scratch: Scra
     return p.join(names, "node").select(key.alias("sort_key"), F.concat(F.repeat(F.lit("  "), F.col("level")), F.col("name")).alias("line"))
 
 
-def packed(nodes: list[tuple[int, int | None, int]], most: int) -> dict[int, int]:
-    """File number of each node of (node, parent, own size), children before parents.
+STUB = 64  # characters that stand for a node kept in another file
 
-    A subtree that fits in what its file has left goes there whole; one that doesn't is closed from its
-    leaves up: its children go to files, largest first, each in the first file with room, and the node itself
-    starts anew with a stub of STUB per child. The input is the tree's outline, not its records.
+
+def _files(nodes: list[tuple[int, int | None, int]], most: int) -> list[tuple[int, int, int]]:
+    """(node, file, place) of one tree of (node, parent, own size): the file is named by its topmost node, the place is the
+    node's in pre-order.
+
+    In rounds from the top, a node goes to a file of its own, with all below that isn't in one yet, once that is shorter than
+    most or everything under it is in files already; what is in files counts as a stub.
     """
-    stub = 64
     children: dict[int | None, list[int]] = {}
-    size = {n: s for n, _, s in nodes}
-    for n, p, _ in nodes:
-        children.setdefault(p, []).append(n)
-    order, todo = [], list(children.get(None, []))
+    own = {n: size for n, _, size in nodes}
+    for n, p, _ in sorted(nodes):
+        children.setdefault(p if p in own else None, []).append(n)
+    order, todo = [], children.get(None, [])[::-1]
     while todo:
         n = todo.pop()
         order.append(n)
-        todo.extend(children.get(n, []))
-    total: dict[int, int] = {}
-    split: set[int] = set()
-    for n in reversed(order):
-        whole = size[n] + sum(total[c] for c in children.get(n, []))
-        if whole > most and children.get(n):
-            split.add(n)
-            whole = size[n] + stub * len(children[n])
-        total[n] = whole
-    files: list[int] = []
-    out: dict[int, int] = {}
-
-    def put(n: int) -> None:
-        at = next((i for i, used in enumerate(files) if used + total[n] <= most), None)
-        if at is None:
-            files.append(0)
-            at = len(files) - 1
-        files[at] += total[n]
-        inside = [n]
-        while inside:
-            x = inside.pop()
-            out[x] = at
-            if x not in split:
-                inside.extend(children.get(x, []))
-
-    units = [n for n in order if n in split or n in children.get(None, [])]
-    units += [c for s in split for c in children[s] if c not in split and c not in units]
-    for n in sorted(dict.fromkeys(units), key=lambda n: (-total[n], n)):
-        put(n)
-    return out
+        todo.extend(children.get(n, [])[::-1])
+    file: dict[int, int] = {}
+    tops: set[int] = set()
+    while not all(r in tops for r in children.get(None, [])):
+        whole: dict[int, int] = {}
+        for n in reversed(order):
+            whole[n] = STUB if n in tops else own[n] + sum(whole[c] for c in children.get(n, []))
+        settled = set(tops)
+        todo = list(children.get(None, []))
+        while todo:
+            n = todo.pop()
+            if n in tops:
+                continue
+            if whole[n] >= most and not all(c in settled for c in children.get(n, [])):
+                todo.extend(children.get(n, []))
+                continue
+            tops.add(n)
+            inside = [n]
+            while inside:
+                x = inside.pop()
+                file[x] = n
+                inside.extend(c for c in children.get(x, []) if c not in settled)
+    return [(n, file[n], i) for i, n in enumerate(order)]
+
+
+def files(nodes: DataFrame, most: int, scratch: Scratch | None = None) -> DataFrame:
+    """node, file (its topmost node), place (in pre-order): nodes (node, parent, size) packed by size. A task packs the outline of one root."""
+    scratch = scratch or Scratch(nodes.sparkSession, "files")
+    nodes = scratch.table(nodes.select("node", "parent", "size"), "sizes")
+    up = ancestors(nodes, scratch)
+    root = up.join(nodes.where("parent IS NULL").select(F.col("node").alias("ancestor")), "ancestor").select("node", F.col("ancestor").alias("root"))
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        rows = [(int(n), None if pd.isna(q) else int(q), int(s)) for n, q, s in zip(p["node"], p["parent"], p["size"], strict=True)]
+        return pd.DataFrame(_files(rows, most), columns=["node", "file", "place"])
+
+    return scratch.table(nodes.join(root, "node").groupBy("root").applyInPandas(run, f"node {kind}, file {kind}, place int"), "files")

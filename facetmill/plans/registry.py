@@ -14,6 +14,7 @@ from facetmill.functions import vectors as V
 from facetmill.operators import explore, prompts, records, similarity, tree
 from facetmill.operators.hull import hulls
 from facetmill.plans import insight
+from facetmill.sources import publish
 from facetmill.sources.scratch import Scratch
 
 TAU = 0.58
@@ -440,11 +441,21 @@ def single_child_parents(spark, d):
     return insight.unique_children(kids).select(F.col("parent_id").alias("parent"), F.col("n").alias("kinds"), (F.col("n") == 1).alias("single"))
 
 
-@query("chunk_packing")
+_SIZES = f"WITH {_NODES}, {_COUNTS}, z AS (SELECT node, parent, 80 + CASE WHEN parent IS NULL THEN 0 ELSE n * 40 END AS size FROM c), t AS (SELECT p.node, p.size + coalesce(sum(k.size), 0) AS whole FROM z p LEFT JOIN z k ON k.parent = p.node WHERE p.parent IS NULL GROUP BY p.node, p.size)"
+
+
+@query("chunk_packing", f"{_SIZES} SELECT z.node, CASE WHEN whole < 8000 THEN t.node ELSE z.node END AS file FROM z JOIN t ON t.node = coalesce(z.parent, z.node)")
 def chunk_packing(spark, d):
-    sizes = _counts(spark, d).join(_nodes(spark, d), "node").select("node", "parent", "n").collect()  # the tree's outline
-    files = tree.packed([(r.node, r.parent, 80 + (r.n * 40 if r.parent is not None else 0)) for r in sizes], 20_000)
-    return spark.createDataFrame(sorted(files.items()), "node long, file_idx long")
+    n = _nodes(spark, d).join(_counts(spark, d), "node")
+    sized = n.select("node", "parent", (F.lit(80) + F.when(F.col("parent").isNull(), 0).otherwise(F.col("n") * 40)).alias("size"))
+    return tree.files(sized, 8_000).select("node", "file")
+
+
+@query("publish_filter_counts", f"WITH {_NODES}, k AS (SELECT 100 + c_nationkey AS node, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1) SELECT n.node AS cluster_id, (CASE WHEN n.parent IS NULL THEN coalesce((SELECT sum(k.n) FROM n m JOIN k ON k.node = m.node WHERE m.parent = n.node), 0) ELSE coalesce((SELECT k.n FROM k WHERE k.node = n.node), 0) END)::BIGINT AS n FROM n")
+def publish_filter_counts(spark, d):
+    clusters = _nodes(spark, d).select(F.col("node").alias("cluster_id"), F.col("parent").alias("parent_id"))
+    kept = _t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("record_id"))
+    return publish.recounted(clusters, publish.filtered(_members(spark, d).withColumnRenamed("node", "cluster_id"), kept)).select("cluster_id", "n")
 
 
 # --- viewer ---------------------------------------------------------------------------------------
