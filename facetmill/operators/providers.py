@@ -10,9 +10,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetmill.sources.scratch import Scratch, hadoop_path
+
 
 class TextGenerator(Protocol):
     """Made once a worker; several prompts a call."""
@@ -70,24 +72,85 @@ class HashedWords:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def generated(prompts: DataFrame, model: TextGenerator, prompt: str = "prompt", batch: int = 1000, cache: DataFrame | None = None) -> DataFrame:
-    """prompts with ``output``. Each different prompt is asked once; those in cache (prompt_key, model, output) not at all."""
-    keyed = prompts.withColumn("prompt_key", F.sha2(F.col(prompt), 256))
-    asked = keyed.select("prompt_key", F.col(prompt).alias("_p")).dropDuplicates(["prompt_key"])
-    known = cache.where(F.col("model") == model.name).select("prompt_key", "output") if cache is not None else None
-    asked = asked.join(known, "prompt_key", "left_anti") if known is not None else asked
+def _ask(asked: DataFrame, model: TextGenerator, batch: int) -> DataFrame:
+    """prompt_key, output, error of (prompt_key, _p). Of a batch that fails, prompts are asked one by one; those that fail have an error."""
+
+    def answers(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            return [(x, None) for x in model.generate(prompts)]
+        except Exception as e:  # noqa: BLE001  a model may raise anything
+            if len(prompts) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+            return [x for p in prompts for x in answers([p])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), batch):
                 part = b.iloc[i : i + batch]
-                yield pd.DataFrame({"prompt_key": part["prompt_key"], "output": model.generate(part["_p"].tolist())})
+                got = answers(part["_p"].tolist())
+                yield pd.DataFrame({"prompt_key": part["prompt_key"], "output": [x for x, _ in got], "error": [e for _, e in got]})
 
-    answers = asked.mapInPandas(run, "prompt_key string, output string")
+    return asked.mapInPandas(run, "prompt_key string, output string, error string")
+
+
+def _keyed(prompts: DataFrame, prompt: str) -> tuple[DataFrame, DataFrame]:
+    keyed = prompts.withColumn("prompt_key", F.sha2(F.col(prompt), 256))
+    return keyed, keyed.select("prompt_key", F.col(prompt).alias("_p")).dropDuplicates(["prompt_key"])
+
+
+def generated(prompts: DataFrame, model: TextGenerator, prompt: str = "prompt", batch: int = 1000, cache: DataFrame | None = None) -> DataFrame:
+    """prompts with ``output``, null where the model failed. Each different prompt is asked once; those in cache (prompt_key, model, output) not at all."""
+    keyed, asked = _keyed(prompts, prompt)
+    known = cache.where(F.col("model") == model.name).select("prompt_key", "output") if cache is not None else None
+    asked = asked.join(known, "prompt_key", "left_anti") if known is not None else asked
+    answers = _ask(asked, model, batch).select("prompt_key", "output")
     answers = answers.unionByName(known) if known is not None else answers
     return keyed.join(answers, "prompt_key", "left").drop("prompt_key")
 
 
+class Responses:
+    """Answers kept between runs in a folder: a table of (prompt_key, model, output), and one of the prompts that failed."""
+
+    ANSWERS = "prompt_key string, model string, output string"
+    FAILED = "prompt_key string, model string, prompt string, error string"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        p, fs = hadoop_path(self.spark, f"{self.folder}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}") if fs.exists(p) else self.spark.createDataFrame([], schema)
+
+    def known(self) -> DataFrame:
+        return self._read("answers", self.ANSWERS).dropDuplicates(["prompt_key", "model"])
+
+    def failed(self) -> DataFrame:
+        return self._read("failed", self.FAILED)
+
+    def add(self, answers: DataFrame, model: str) -> None:
+        """Of (prompt_key, _p, output, error): answers to the one table, failures to the other."""
+        named = answers.withColumn("model", F.lit(model))
+        named.where("error IS NULL").select("prompt_key", "model", "output").write.mode("append").parquet(f"{self.folder}/answers")
+        failed = named.where("error IS NOT NULL").select("prompt_key", "model", F.col("_p").alias("prompt"), "error")
+        if failed.head(1):
+            failed.write.mode("append").parquet(f"{self.folder}/failed")
+
+
+def answered(prompts: DataFrame, model: TextGenerator, scratch: Scratch, responses: Responses | None = None, prompt: str = "prompt", batch: int = 1000) -> DataFrame:
+    """The same, as a written table: answers are kept in responses and not asked for again, failed prompts are put aside there."""
+    keyed, asked = _keyed(prompts, prompt)
+    known = None
+    if responses is not None:
+        known = responses.known().where(F.col("model") == model.name).select("prompt_key", "output")
+        asked = asked.join(known, "prompt_key", "left_anti")
+    new = scratch.table(asked.join(_ask(asked, model, batch), "prompt_key") if responses is not None else _ask(asked, model, batch), "answers")
+    answers = new.select("prompt_key", "output")
+    if responses is not None:
+        answers = scratch.table(answers.unionByName(known), "known")  # read before it is added to
+        responses.add(new, model.name)
+    return scratch.table(keyed.join(answers, "prompt_key", "left").drop("prompt_key"), "answered")
+
+
 def embedded(rows: DataFrame, model: Embedder, text: str, to: str = "vec") -> DataFrame:
     """rows with the vector of a text column; each different text is encoded once."""
     distinct = rows.select(F.col(text).alias("_t")).distinct()

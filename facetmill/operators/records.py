@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from facetmill.functions import text as T
+from facetmill.sources.scratch import Scratch
 
 
 def conversations(turns: DataFrame, language: str | None = None) -> DataFrame:
@@ -44,9 +45,10 @@ def truncated(turns: DataFrame, max_tokens: int, token_count: Column | None = No
 
 
 def dedup(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row, by order, of each key; rows are compared by the key itself, shuffled by its digest."""
-    first = rows.withColumn("_k", key).groupBy("_k").agg(F.min(order).alias("_first")).select("_first")
-    return rows.join(first, rows[order] == F.col("_first"), "left_semi")
+    """The first row, by order, of each key (null is one key), whatever repeats among orders: one shuffle of rows, thinned before it."""
+    row = F.struct("*")
+    first = rows.select(key.alias("_k"), F.col(order).alias("_o"), row.alias("_row")).groupBy("_k").agg(F.min_by("_row", "_o").alias("_row"))
+    return first.select("_row.*")
 
 
 def dedup_mapping(rows: DataFrame, key: Column, order: str) -> DataFrame:
@@ -58,14 +60,23 @@ def dedup_mapping(rows: DataFrame, key: Column, order: str) -> DataFrame:
     return out.join(position, "survivor").select("old", "survivor", "position")
 
 
-def survivor_positions(ids: DataFrame, parts: int = 256) -> DataFrame:
-    """0-based rank of each distinct id, from sorted ranges that are counted first, so no task holds all ids."""
+RANGE_ROWS = 200_000  # ids of a sorted range
+
+
+def survivor_positions(ids: DataFrame, parts: int | None = None) -> DataFrame:
+    """0-based rank of each distinct id, from sorted ranges that are counted first, so no task holds all ids.
+
+    The ranges are a written table, for both the counts and the ranks must see the same ones.
+    """
     c = ids.columns[0]
-    ranged = ids.repartitionByRange(parts, c).withColumn("_p", F.spark_partition_id())
+    scratch = Scratch(ids.sparkSession, "ranges")
+    ids = scratch.table(ids, "ids") if parts is None else ids
+    parts = ids.count() // RANGE_ROWS + 1 if parts is None else parts
+    ranged = scratch.table(ids.repartitionByRange(parts, c).withColumn("_p", F.spark_partition_id()), "ranged")
     lows = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     base = lows.withColumn("_base", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_base", F.lit(0)).alias("_base"))
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(c)) - 1
-    return ranged.withColumn("_r", rank).join(F.broadcast(base), "_p").select(c, (F.col("_r") + F.col("_base")).cast("long").alias("position"))
+    return ranged.withColumn("_r", rank).join(F.broadcast(base), "_p").select(c, (F.col("_r") + F.col("_base")).cast("long").alias("position"))  # a row a range
 
 
 def all_turns_in(records: DataFrame, language: str = "English") -> DataFrame:
@@ -85,6 +96,12 @@ def duplicate_values(values: DataFrame) -> DataFrame:
     return g.where("n > 1").orderBy(F.col("n").desc(), "value")
 
 
+def duplicate_rows(values: DataFrame) -> DataFrame:
+    """value, n, record_id: the same with a row a record, for values that more records have than a list should hold."""
+    n = values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    return values.join(n, "value").select("value", "n", "record_id").distinct()
+
+
 def most_common(values: DataFrame, by: str, value: str) -> DataFrame:
     """Per group the value that occurs most, ties to the smaller text."""
     n = values.groupBy(by, value).agg(F.count("*").alias("n"))

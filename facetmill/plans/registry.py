@@ -214,6 +214,11 @@ def duplicate_values(spark, d):
     return records.duplicate_values(_t(spark, d, "documents").select(F.sha2("text", 256).alias("value"), F.col("doc_id").alias("record_id")))
 
 
+@query("duplicate_value_records", "SELECT DISTINCT lang || '/' || source AS value, count(*) OVER (PARTITION BY lang, source) AS n, doc_id AS record_id FROM documents QUALIFY count(*) OVER (PARTITION BY lang, source) > 1")
+def duplicate_value_records(spark, d):
+    return records.duplicate_rows(_t(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("value"), F.col("doc_id").alias("record_id")))
+
+
 @query("value_mode_tiebreak", "SELECT source, lang AS mode_value, count(*) AS n FROM documents GROUP BY source, lang QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) = 1")
 def value_mode_tiebreak(spark, d):
     return records.most_common(_t(spark, d, "documents"), "source", "lang")
