@@ -40,7 +40,7 @@ class Scratch:
         self.count = 0
 
     def _write(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -69,7 +69,7 @@ class Scratch:
         self.drop()
 
 
-def small_batches(spark: SparkSession, most: str = "8m") -> None:
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
     """From now on Arrow batches of the session hold so many bytes at most (64 MB by default), so that workers stay
     small whatever the texts' lengths. Results don't depend on it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
