@@ -1,4 +1,10 @@
-"""A corpus for training: toxic texts go, near copies go, personal data is redacted, sources are mixed, texts become tokens."""
+"""A corpus for training: toxic texts go, near copies go, personal data is redacted, sources are mixed, texts become tokens.
+
+Edge cases, of every stage: an empty table gives no rows; null ids, texts and sources stay (a null or empty text is clean, no
+copy of anything, without personal data, of size 0 and so in no mix but for whole epochs); rows repeated with id and
+text are one near copy; ids repeated with other texts are documents of their own; texts of any length are read whole;
+further columns pass through up to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -40,9 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet and read again."""
+    """The stages over documents, each written as Parquet and read again; what a stage has read goes once the next is written."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            scratch.drop_table(last)
+        last = docs
     return docs
