@@ -43,6 +43,7 @@ from facetmill.llm.bitmap import bitmap, hit
 from facetmill.llm.names import free
 from facetmill.llm.wordhash import mix, shingle_set, text_words
 from facetmill.operators.graph import connected_components
+from facetmill.sources.memory import tidy
 from facetmill.sources.scratch import Scratch, arrow_rows
 
 HEAVY_MOST = 65_536  # entries of the list that orders frequent shingles last; it decides cost only
@@ -119,7 +120,7 @@ def frequent(docs: DataFrame, k: int) -> DataFrame:
         if held:
             yield flush()
 
-    found = docs.select("text").mapInArrow(count, "h long, n long")
+    found = docs.select("text").mapInArrow(tidy(count), "h long, n long")
     return found.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "h").limit(HEAVY_MOST)
 
 
@@ -160,7 +161,7 @@ def signatures(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataF
                 prefix.append(p.view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "cid", "gid", "bits", "wide", "prefix"])
 
-    return scratch.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SETS), "sets")
+    return scratch.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(sign), SETS), "sets")
 
 
 KEYS = ("own", "token", "lo", "hi")
@@ -224,7 +225,7 @@ def _compare(percent: int, forest: bool):
             left.append(a[at]), right.append(a[at] + shift), far.append(d)
         for r in np.flatnonzero(size > SHORT_RUN):
             x, y = edges[r], edges[r + 1]
-            step = max(1, (1 << 18) // (y - x))
+            step = max(1, (1 << 16) // (y - x))
             for i in range(x, y, step):
                 a, b = np.meshgrid(np.arange(i, min(y, i + step)), np.arange(i + 1, y), indexing="ij")
                 upper = a < b
@@ -299,7 +300,7 @@ def candidates(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), size).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), size - 1)))
     rows = rows.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other"))
     rows = rows.select(*COLUMNS).repartition(*KEYS).sortWithinPartitions(*KEYS)
-    return rows.mapInArrow(_compare(percent, forest), "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
+    return rows.mapInArrow(tidy(_compare(percent, forest)), "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def _index(bits: np.ndarray | None):
@@ -327,10 +328,10 @@ def index(groups: DataFrame, tokens: DataFrame, scratch: Scratch) -> DataFrame:
     bits = bitmap(tokens, "token", tokens.count())
     hot = scratch.table(tokens.where(F.col("members") > BLOCK).select("token", "members"), "hot")
     if bits is None:  # only numbers travel to meet the tokens
-        rows = groups.select("gid", "prefix").mapInArrow(_index(None), f"token long, pos long, {fields['gid']}")
+        rows = groups.select("gid", "prefix").mapInArrow(tidy(_index(None)), f"token long, pos long, {fields['gid']}")
         rows = rows.join(tokens.select("token"), "token", "left_semi").join(groups.drop("prefix"), "gid")
     else:
-        rows = groups.mapInArrow(_index(bits), ", ".join(["token long, pos long", *(fields[c] for c in groups.columns if c != "prefix")]))
+        rows = groups.mapInArrow(tidy(_index(bits)), ", ".join(["token long, pos long", *(fields[c] for c in groups.columns if c != "prefix")]))
     return rows.join(hot, "token", "left").withColumn("members", F.coalesce("members", F.lit(1)))
 
 
@@ -354,7 +355,7 @@ def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
     x = classes.select(F.col("cid").alias("a"), "n", F.col("wide").alias("x"))
     y = classes.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "d", "n", "m", "x", "y").mapInArrow(run, "a long, b long, d long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "d", "n", "m", "x", "y").mapInArrow(tidy(run), "a long, b long, d long")
 
 
 def nearest(pairs: DataFrame, by: tuple[str, str] = ("a", "b")) -> DataFrame:
@@ -401,10 +402,10 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, perc
                     cid, full, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(full, pa.binary())], names=["cid", "full"])
 
-    full = texts.mapInArrow(sets, "cid long, full binary").dropDuplicates(["cid"])
+    full = texts.mapInArrow(tidy(sets), "cid long, full binary").dropDuplicates(["cid"])
     x = full.select(F.col("cid").alias("a"), F.col("full").alias("x"))
     y = full.select(F.col("cid").alias("b"), F.col("full").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(_verify(percent)), "a long, b long")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -420,7 +421,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
         several = scratch.table(classes.groupBy("gid").agg(F.count("*").alias("size")).where("size > 1"), "several")
         members = classes.join(several, "gid").select("gid", F.col("cid").alias("b"), F.col("bits").alias("y"))
         lead = groups.join(several, "gid").select("gid", F.col("cid").alias("a"), F.col("bits").alias("x"))
-        stars = scratch.table(members.join(lead, "gid").where("a <> b").mapInArrow(_stars, "gid long, a long, b long, d long"), "stars")
+        stars = scratch.table(members.join(lead, "gid").where("a <> b").mapInArrow(tidy(_stars), "gid long, a long, b long, d long"), "stars")
         several = scratch.table(several.join(stars.groupBy("gid").agg(F.max("d").alias("radius")), "gid"), "several")
         sized = groups.join(several, "gid", "left").withColumn("size", F.coalesce("size", F.lit(1))).withColumn("radius", F.coalesce("radius", F.lit(0)))
         tokens = sized.select("size", F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("groups"), F.sum("size").alias("members"))

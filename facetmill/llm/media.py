@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetmill.operators.graph import connected_components
+from facetmill.sources.memory import tidy
 from facetmill.sources.scratch import Scratch, arrow_rows
 
 SCALES = tuple(2 ** (-i / 4) for i in range(6))
@@ -146,7 +147,7 @@ def drawn(embeddings: DataFrame, side: int = 48) -> DataFrame:
                 pixels.append(np.rint(a).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([side] * b.num_rows, pa.int32()), pa.array([side] * b.num_rows, pa.int32()), pa.array(pixels, pa.binary())], names=["media_id", "width", "height", "pixels"])
 
-    return embeddings.select(F.col("vec_id").cast("long").alias("media_id"), "embedding").mapInArrow(run, "media_id long, width int, height int, pixels binary")
+    return embeddings.select(F.col("vec_id").cast("long").alias("media_id"), "embedding").mapInArrow(tidy(run), "media_id long, width int, height int, pixels binary")
 
 
 CORNER = "cid long, corner int, y double, x double, scale double, angle double, desc binary"
@@ -330,7 +331,7 @@ def copies(spark: SparkSession, media: DataFrame, consensus: int = CONSENSUS) ->
 
     with Scratch(spark, "media") as scratch, arrow_rows(spark, 1000):
         media = media.select(F.col("media_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), "pixels")
-        seen = media.mapInArrow(digest, "media_id long, width int, height int, pixels binary, cid long")
+        seen = media.mapInArrow(tidy(digest), "media_id long, width int, height int, pixels binary, cid long")
         marked = scratch.table(seen.select("media_id", "cid"), "marked")
         some = marked.where("cid IS NOT NULL")
         reps = some.groupBy("cid").agg(F.min("media_id").alias("rep"))
@@ -339,7 +340,7 @@ def copies(spark: SparkSession, media: DataFrame, consensus: int = CONSENSUS) ->
         single = seen.where("cid IS NOT NULL").join(copies_.select("cid"), "cid", "left_anti")
         one = seen.join(copies_, ["cid", "media_id"]).dropDuplicates(["cid"])
         one = single.select("cid", "width", "height", "pixels").unionByName(one.select("cid", "width", "height", "pixels"))
-        corners = scratch.table(one.mapInArrow(_corners, CORNER), "corners")
+        corners = scratch.table(one.mapInArrow(tidy(_corners), CORNER), "corners")
         links = scratch.table(linked(corners, consensus), "links")
         parts = connected_components(links, scratch)
         degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("n_links"))

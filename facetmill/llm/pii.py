@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetmill.llm.names import free
-from facetmill.sources.scratch import Scratch
+from facetmill.sources.memory import give_back, tidy
+from facetmill.sources.scratch import Scratch, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE = 0.8
@@ -139,7 +140,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text_id.extend([key] * len(found)), entity.extend(found)
             n.update({w.lower() for w in _WORD.findall(text)} if not spans else _terms(text, spans))
         yield out(text_id, entity)
-        if len(n) > 500_000 or len(seen) > 500_000:  # a part of the task gives a lower bound as well
+        if len(n) > 200_000 or len(seen) > 200_000:  # a part of the task gives a lower bound as well
             yield out(None, None)
             n.clear(), seen.clear()
     yield out(None, None)
@@ -194,7 +195,7 @@ def _pairs(bound: _Bound):
             for entities, terms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for e in entities:
                     n.update((e, t) for t in (terms if bound.known is None else bound.terms(terms, [e])))
-                    if len(n) > 300_000:
+                    if len(n) > 150_000:
                         yield out()
         yield out()
 
@@ -203,7 +204,7 @@ def _pairs(bound: _Bound):
 
 def telling_terms(docs: DataFrame, scratch: Scratch, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(entity, term, share): the pairs whose disclosed share of the entity's information reaches the threshold."""
-    scan = scratch.table(docs.select("text").mapInArrow(_scan, "text_id long, entity long, term string, n long"), "scan")
+    scan = scratch.table(docs.select("text").mapInArrow(tidy(_scan), "text_id long, entity long, term string, n long"), "scan")
     entities = scan.where("entity IS NOT NULL").select("text_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     entities = scratch.table(entities.where(F.col("n_entity") >= int(support)), "entities")  # a pair stands in no more texts than its entity
     frequent = scan.where("term IS NOT NULL").groupBy("term").agg(F.max("n").alias("n")).orderBy(F.col("n").desc(), "term").limit(FREQUENT_MOST)
@@ -212,8 +213,8 @@ def telling_terms(docs: DataFrame, scratch: Scratch, disclosure: float = DISCLOS
     size = entities.agg(F.count("*").alias("n"), F.max("n_entity").alias("largest")).first()
     known = None if size.n > BROADCAST_ROWS else {r.entity: r.n_entity for r in entities.toLocalIterator()}
     bound = _Bound(known, size.largest or 1, {r.term: r.n for r in frequent.toLocalIterator()}, total, disclosure)
-    contexts = docs.select("text").mapInArrow(_contexts(bound), "text_id long, entities array<long>, terms array<string>").dropDuplicates(["text_id"])
-    both = contexts.select("entities", "terms").mapInArrow(_pairs(bound), "entity long, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    contexts = docs.select("text").mapInArrow(tidy(_contexts(bound)), "text_id long, entities array<long>, terms array<string>").dropDuplicates(["text_id"])
+    both = contexts.select("entities", "terms").mapInArrow(tidy(_pairs(bound)), "entity long, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
     both = scratch.table(both.where(F.col("n") >= int(support)), "pairs")
     wanted = scratch.table(both.select("term").distinct(), "terms")
     count = wanted.count()
@@ -221,8 +222,8 @@ def telling_terms(docs: DataFrame, scratch: Scratch, disclosure: float = DISCLOS
         return both.select("entity", "term", F.lit(1.0).alias("share")).limit(0)
     words = None if count > BROADCAST_ROWS else {r.term for r in wanted.toLocalIterator()}
     # One row a text with its wanted terms, one of each text, then counts that are summed before the shuffle.
-    found = texts.select("text", "_h").mapInArrow(_holders(words), "h long, terms array<string>").dropDuplicates(["h"])
-    seen = found.select("terms").mapInArrow(_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    found = texts.select("text", "_h").mapInArrow(tidy(_holders(words)), "h long, terms array<string>").dropDuplicates(["h"])
+    seen = found.select("terms").mapInArrow(tidy(_counts), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     out = both.join(seen, "term").join(entities, "entity")
     pmi = F.log(F.col("n") * float(total) / (F.col("n_term") * F.col("n_entity")))
     information = F.log(float(total) / F.col("n_entity"))
@@ -262,7 +263,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for x in b.column(0).flatten().value_counts().to_pylist():
             n[x["values"]] += x["counts"]
-        if len(n) > 300_000:
+        if len(n) > 150_000:
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
             n.clear()
     yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
@@ -314,7 +315,9 @@ def _finder(telling: dict[str, float] | None, clean: bool):
     if telling is not None:
 
         def run(text: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([one(t, telling) for t in text], columns=columns)
+            out = pd.DataFrame([one(t, telling) for t in text], columns=columns)
+            give_back()
+            return out
     else:
 
         def run(text: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -325,12 +328,13 @@ def _finder(telling: dict[str, float] | None, clean: bool):
 
 def with_spans(spark: SparkSession, docs: DataFrame, clean: bool = False, to: str = "_pii") -> DataFrame:
     """docs with a struct column ``to`` (none of its own): counts, digest and spans, and with clean the sanitised text."""
+    small_batches(spark)
     with Scratch(spark, "pii") as scratch:
         telling = scratch.table(telling_terms(docs, scratch).groupBy("term").agg(F.max("share").alias("share")), "telling")
         if telling.count() <= BROADCAST_ROWS:
             return docs.withColumn(to, _finder({r.term: r.share for r in telling.toLocalIterator()}, clean)(F.col("text")))
         telling = scratch.keep(telling)
-    pairs = docs.select("text").mapInArrow(_words, "text_id long, term string").distinct()
+    pairs = docs.select("text").mapInArrow(tidy(_words), "text_id long, term string").distinct()
     of = pairs.join(telling, "term").groupBy("text_id").agg(F.collect_list(F.struct("term", "share")).alias("found"))
 
     def keys(text: pd.Series) -> pd.Series:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetmill.llm.names import free
+from facetmill.sources.memory import give_back
 from facetmill.sources.scratch import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -382,6 +383,7 @@ def _in_pieces(column: pa.Array, weight: np.ndarray, most: int, f) -> pa.Array:
     """f over runs of rows of about most weight, joined."""
     if not len(column):
         return f(column)
+    give_back()
     group = np.cumsum(weight) // most
     cut = np.flatnonzero(np.diff(group)) + 1
     parts = [f(column.slice(a, b - a)) for a, b in zip(np.concatenate(([0], cut)), np.append(cut, len(column)), strict=True)]

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from facetmill.llm.bitmap import among, bitmap, hit
 from facetmill.llm.wordhash import mix, shingle_hashes, text_words
+from facetmill.sources.memory import tidy
 from facetmill.sources.scratch import Scratch, arrow_rows
 
 SPAN = 50
@@ -103,7 +104,7 @@ def _grams(span: int, gram: int):
 
 def shared_grams(docs: DataFrame, span: int, gram: int) -> DataFrame:
     """(h, rows): grams that stand in several documents, with their number of suffixes."""
-    found = docs.mapInArrow(_grams(span, gram), "h long, rows long, key long")
+    found = docs.mapInArrow(tidy(_grams(span, gram)), "h long, rows long, key long")
     found = found.groupBy("h").agg(F.sum("rows").alias("rows"), F.min("key").alias("a"), F.max("key").alias("b"))
     return found.where("a <> b").select("h", "rows")
 
@@ -297,7 +298,7 @@ def _passages(span: int, gram: int, shared):
 def _of_hot(docs: DataFrame, span: int, gram: int, shared, scratch: Scratch) -> DataFrame:
     """The same as ``_matches`` for passages of hot grams. Documents of one passage are aggregated to the first and the last,
     in part before the shuffle; back on the passages' rows they are joined, where a hot key is split by skew handling."""
-    rows = docs.mapInArrow(_passages(span, gram, shared), "w long, x long, key long, doc_id long, start long")
+    rows = docs.mapInArrow(tidy(_passages(span, gram, shared)), "w long, x long, key long, doc_id long, start long")
     rows = scratch.table(rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID)))), "passages")
     who = F.struct("doc_id", "key")
     both = rows.groupBy("w", "x").agg(F.min(who).alias("lead"), F.max(who).alias("last")).where("lead <> last")
@@ -327,10 +328,10 @@ def repeats(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: int =
         bits = bitmap(grams, "h", size.n)
         hot = grams.where(F.col("rows") > max(HOT, (size.rows or 0) // HOT_MOST)).select("h").toArrow().column("h").to_numpy()  # HOT_MOST at most
         shared = spark.sparkContext.broadcast((bits, np.sort(hot.view(_U))))
-        rows = docs.mapInArrow(_suffixes(span, gram, shared), "h long, key long, doc_id long, at long, have long, suffix binary, before binary")
+        rows = docs.mapInArrow(tidy(_suffixes(span, gram, shared)), "h long, key long, doc_id long, at long, have long, suffix binary, before binary")
         rows = rows if bits is not None else rows.join(grams.select("h"), "h", "left_semi")
         rows = rows.repartition("h").sortWithinPartitions("h", "suffix")
-        found = rows.mapInArrow(_matches(span, gram), "key long, start long, end long, extra boolean, partner long")
+        found = rows.mapInArrow(tidy(_matches(span, gram)), "key long, start long, end long, extra boolean, partner long")
         if len(hot):
             found = found.unionByName(_of_hot(docs, span, gram, shared, scratch))
         join = F.pandas_udf(lambda s: s.map(_merged), "string")
@@ -343,7 +344,7 @@ def repeats(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: int =
                 t = [(d, k, len(w)) for k, d, w in _documents(b)]
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(t, columns=["doc_id", "key", "n_words"]).astype({"doc_id": "Int64", "key": "int64", "n_words": "int64"}), preserve_index=False)
 
-        every = docs.mapInArrow(lengths, "doc_id long, key long, n_words long")
+        every = docs.mapInArrow(tidy(lengths), "doc_id long, key long, n_words long")
         out = every.join(found, "key", "left").select("doc_id", "n_words", F.coalesce("repeated", F.lit("")).alias("repeated"), F.coalesce("extra", F.lit("")).alias("extra"), "partner")
         return scratch.keep(out)
 

@@ -36,7 +36,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.sources.scratch import Scratch
+from facetmill.sources.memory import give_back, tidy
+from facetmill.sources.scratch import Scratch, small_batches
 
 TRAIN_MOST = 20_000  # labelled rows that the models are fitted on
 FALSE_SHARE = 0.1  # of the mined voters that may be chance finds
@@ -111,7 +112,7 @@ def mine(train: DataFrame) -> list[str]:
         every[""], toxic[""] = rows
         yield pa.RecordBatch.from_arrays([pa.array(list(every)), pa.array(list(every.values()), pa.int64()), pa.array([toxic[t] for t in every], pa.int64())], names=["term", "n", "t"])
 
-    got = train.select("text", F.col("toxic").cast("int")).mapInArrow(count, "term string, n long, t long")
+    got = train.select("text", F.col("toxic").cast("int")).mapInArrow(tidy(count), "term string, n long, t long")
     got = got.groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     whole = got.agg(F.max(F.when(F.col("term") == "", F.col("n"))).alias("n"), F.max(F.when(F.col("term") == "", F.col("t"))).alias("t"), F.count("*").alias("terms")).first()
     if not whole.t or whole.t == whole.n:
@@ -138,7 +139,7 @@ def joint_counts(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarra
         i, j = np.nonzero(np.triu(joint))
         yield pa.RecordBatch.from_arrays([pa.array([*i.tolist(), -1], pa.int32()), pa.array([*j.tolist(), -1], pa.int32()), pa.array([*joint[i, j].tolist(), rows])], names=["i", "j", "n"])
 
-    got = docs.select("text").mapInArrow(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()  # half of the voters squared at most
+    got = docs.select("text").mapInArrow(tidy(count), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()  # half of the voters squared at most
     i, j, n = (got.column(c).to_numpy() for c in ("i", "j", "n"))
     joint, pair = np.zeros((size, size)), i >= 0
     joint[i[pair], j[pair]] = joint[j[pair], i[pair]] = n[pair]
@@ -226,6 +227,7 @@ def logistic(votes: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: f
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
+    small_batches(spark)
     with Scratch(spark, "toxicity") as scratch:
         train = training_rows(docs, labels, scratch)
         mined = mine(train)
@@ -239,7 +241,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
                 hit = [sorted(vocabulary[t] for t in terms(text) & vocabulary.keys()) for text in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(hit, pa.list_(pa.int32())), b.column(1)], names=["hit", "toxic"])
 
-        fired = train.select("text", F.col("toxic").cast("int")).mapInArrow(fire, "hit array<int>, toxic int")
+        fired = train.select("text", F.col("toxic").cast("int")).mapInArrow(tidy(fire), "hit array<int>, toxic int")
         got = fired.groupBy("hit", "toxic").agg(F.count("*").alias("n")).toArrow()  # TRAIN_MOST rows at most
     got = sorted((tuple(h), y, n) for h, y, n in zip(*(got.column(c).to_pylist() for c in ("hit", "toxic", "n")), strict=True))
     votes = np.zeros((len(got), len(vocabulary)), np.uint8)
@@ -256,7 +258,9 @@ def scored(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
 
     def run(text: pd.Series) -> pd.Series:
         m = shared.value
-        return pd.Series([m.score(terms(t)) for t in text], dtype="float64")
+        out = pd.Series([m.score(terms(t)) for t in text], dtype="float64")
+        give_back()
+        return out
 
     return docs.withColumn(to, F.pandas_udf(run, "double")(F.col("text")))
 

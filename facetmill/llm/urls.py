@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetmill.sources.memory import tidy
 from facetmill.sources.scratch import Scratch, small_batches
 
 #: Fixed by the contract: (verdict, host, path).
@@ -102,7 +103,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def entries(examples: DataFrame) -> DataFrame:
     """(accepted, context, next, n, total, kinds): both models, from examples (url, accepted)."""
-    grams = examples.mapInArrow(_grams, "accepted boolean, context string, next string, n long")
+    grams = examples.mapInArrow(tidy(_grams), "accepted boolean, context string, next string, n long")
     grams = grams.groupBy("accepted", "context", "next").agg(F.sum("n").alias("n"))
     whole = grams.groupBy("accepted", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= CONTEXT_LEAST)
     return grams.join(whole, ["accepted", "context"])
@@ -137,7 +138,7 @@ def _hash(url: str) -> int:
 def joined_scores(kept: DataFrame, urls: DataFrame) -> DataFrame:
     """(url, score): what ``ratio`` gives for each distinct url of (url), with the models as a table."""
     urls = urls.where("url IS NOT NULL").select("url").distinct()
-    asked = urls.mapInArrow(_lookups, "url_id long, i int, k int, context string, next string")
+    asked = urls.mapInArrow(tidy(_lookups), "url_id long, i int, k int, context string, next string")
     seen = kept.select("accepted", "context", "next", "n")
     whole = kept.select("accepted", "context", "total", "kinds").distinct()
     both = F.explode(F.array(F.lit(True), F.lit(False))).alias("accepted")

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from facetmill.sources.memory import tidy
 from facetmill.sources.scratch import Scratch, arrow_rows
 
 SHARD_ROWS = 16_384
@@ -169,7 +170,7 @@ def nearest(spark: SparkSession, rows: DataFrame, asks: DataFrame, k: int = 10,
         asked = good[1].groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
         asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("ask"), "vec_id", "embedding")
         dealt = kept.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "ask")
-        found = dealt.mapInArrow(_shard_search(k, factor), "query_id long, vec_id long, score double")
+        found = dealt.mapInArrow(tidy(_shard_search(k, factor)), "query_id long, vec_id long, score double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
         return scratch.keep(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
