@@ -137,6 +137,11 @@ def _files(nodes: list[tuple[int, int | None, int]], most: int) -> list[tuple[in
     return [(n, file[n], i) for i, n in enumerate(order)]
 
 
+def packed(nodes: list[tuple[int, int | None, int]], most: int) -> dict[int, int]:
+    """The file (its topmost node) of each node of (node, parent, own size), in memory."""
+    return {n: f for n, f, _ in _files(nodes, most)}
+
+
 def files(nodes: DataFrame, most: int, scratch: Scratch | None = None) -> DataFrame:
     """node, file (its topmost node), place (in pre-order): nodes (node, parent, size) packed by size. A task packs the outline of one root."""
     scratch = scratch or Scratch(nodes.sparkSession, "files")
