@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
     base = LOCAL_SHARED if os.path.isdir(LOCAL_SHARED) and os.access(LOCAL_SHARED, os.W_OK) else tempfile.gettempdir()
     return f"file://{base}"
 
