@@ -7,8 +7,8 @@ the corpus), the rest by hash; it decides cost only, never results.
 
 1. Documents with equal sets form a class; classes with equal size and prefix form a group, which a
    representative and a radius (how far members' signatures are from its own) stand for.
-2. The groups' prefix shingles make an inverted index; shingles of one group alone are dropped by a
-   bitmap before entries travel. Group pairs in the entries of one shingle are filtered by size,
+2. The groups' prefix shingles make an inverted index. Shingles of one group alone are dropped by a
+   bitmap before entries travel; those of two give that pair of groups at once. Group pairs in the entries of one shingle are filtered by size,
    position and parity signatures of about a bit a shingle, a strict bound: two sets that differ in d
    shingles have signatures that differ in at most d bits, so members of two groups differ in at least
    the representatives' distance less both radii. Large sets are held against each other once more by
@@ -342,6 +342,28 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([t.column("gid"), t.column("a"), t.column("b"), pa.array(d, pa.int64())], names=["gid", "a", "b", "d"])
 
 
+def couples_of(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(x, y, n, m, many, a, b, d): of pairs (x, y) of groups, those that pass the filters of size and signatures, their sizes,
+    whether either has several classes, their representatives a < b and the least distance. For shingles that two groups
+    alone share, so signatures travel once a pair and not once a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            n, m, far = (t.column(c).to_numpy() for c in ("n", "m", "far"))
+            need = (percent * (n + m) + 99 + percent) // (100 + percent)
+            d = np.array([_wide_distance(x, y) for x, y in zip(t.column("u").to_pylist(), t.column("v").to_pylist(), strict=True)], np.int64)
+            d = np.maximum(d - far, 0)
+            keep = pa.array((100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (d <= n + m - 2 * need))
+            rest = [t.column(c) for c in ("x", "y", "n", "m", "many", "a", "b")]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (*rest, pa.array(d))], names=["x", "y", "n", "m", "many", "a", "b", "d"])
+
+    x = groups.select(F.col("gid").alias("x"), "n", F.col("cid").alias("p"), F.col("bits").alias("u"), F.col("radius").alias("r"), F.col("size").alias("i"))
+    y = groups.select(F.col("gid").alias("y"), F.col("n").alias("m"), F.col("cid").alias("q"), F.col("bits").alias("v"), F.col("radius").alias("s"), F.col("size").alias("j"))
+    rows = pairs.join(x, "x").join(y, "y").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    rows = rows.select("x", "y", "n", "m", ((F.col("i") > 1) | (F.col("j") > 1)).cast("int").alias("many"), F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), (F.col("r") + F.col("s")).alias("far"), "u", "v")
+    return rows.mapInArrow(tidy(run), "x long, y long, n long, m long, many int, a long, b long, d long")
+
+
 def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Drops pairs of large sets that their wide signatures exclude; d becomes the distance of those."""
 
@@ -424,14 +446,17 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
         stars = scratch.table(members.join(lead, "gid").where("a <> b").mapInArrow(tidy(_stars), "gid long, a long, b long, d long"), "stars")
         several = scratch.table(several.join(stars.groupBy("gid").agg(F.max("d").alias("radius")), "gid"), "several")
         sized = groups.join(several, "gid", "left").withColumn("size", F.coalesce("size", F.lit(1))).withColumn("radius", F.coalesce("radius", F.lit(0)))
-        tokens = sized.select("size", F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("groups"), F.sum("size").alias("members"))
-        tokens = scratch.table(tokens.where("groups > 1"), "tokens")
-        entries = index(sized, tokens.select("token", F.col("groups").alias("members")), scratch)
+        shared = groups.select("gid", F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("members"), F.min("gid").alias("x"), F.max("gid").alias("y"))
+        shared = scratch.table(shared.where("members > 1"), "shared")
+        tokens = scratch.table(shared.where("members > 2").select("token", "members"), "tokens")
+        couples = scratch.table(couples_of(shared.where("members = 2").select("x", "y").distinct(), sized, percent), "couples")
+        entries = index(sized, tokens, scratch)
         entries = entries.withColumn("own", F.lit(0)).withColumn("comp", F.col("cid")).withColumn("many", F.when(F.col("size") > 1, 1).otherwise(0))
         found = scratch.table(candidates(entries, percent, forest=True), "found")
         open_tokens = found.where("d < 0").select(F.col("a").alias("token")).distinct()
         narrow = classes.select("gid", "cid", "bits")
         pairs = found.where("d >= 0").unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d"))
+        pairs = pairs.unionByName(couples.select("a", "b", "d")).groupBy("a", "b").agg(F.min("d").alias("d"))
         first = scratch.table(near_enough(pairs, classes, percent), "forest")
 
         def components(links: DataFrame) -> DataFrame:
@@ -453,12 +478,17 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
         parts = components(links)
         labelled = narrow.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
         labelled = scratch.table(labelled, "labelled")
-        columns = ("token", "gid", "n", "pos", "members", "own")
-        across = index(groups.select("gid", "n", "prefix"), scratch.table(tokens.join(open_tokens, "token", "left_semi"), "open"), scratch).withColumn("own", F.lit(0)).select(*columns)
-        inside = groups.join(several.where("size > 2"), "gid").select(F.col("gid").alias("token"), "gid", "n", F.lit(0).cast("long").alias("pos"), F.col("size").alias("members"), F.lit(1).alias("own"))
-        entries = scratch.table(across.unionByName(inside), "entries")
+        columns = ("token", "gid", "n", "pos", "own")
+        across = index(groups.select("gid", "n", "prefix"), scratch.table(open_tokens.withColumn("members", F.lit(1)), "open"), scratch).withColumn("own", F.lit(0)).select(*columns)
+        inside = groups.join(several.where("size > 2"), "gid").select(F.col("gid").alias("token"), "gid", "n", F.lit(0).cast("long").alias("pos"), F.lit(1).alias("own"))
+        both = couples.where("many = 1").select(F.xxhash64("x", "y").alias("token"), F.explode(F.array(F.struct(F.col("x").alias("gid"), F.col("n")), F.struct(F.col("y").alias("gid"), F.col("m").alias("n")))).alias("g"))
+        both = both.select("token", "g.gid", "g.n", F.lit(0).cast("long").alias("pos"), F.lit(2).alias("own"))
+        entries = scratch.table(across.unionByName(inside).unionByName(both), "entries")
         mixed = entries.join(labelled.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")), "gid").groupBy("own", "token").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x <> y").select("own", "token")
-        rows = entries.join(mixed, ["own", "token"], "left_semi").join(labelled, "gid").withColumn("radius", F.lit(0).cast("long")).withColumn("many", F.lit(0))
+        hot = entries.join(several.select("gid", "size"), "gid", "left").groupBy("own", "token").agg(F.sum(F.coalesce("size", F.lit(1))).alias("members"))
+        hot = scratch.table(hot.where(F.col("members") > BLOCK), "hot")
+        rows = entries.join(mixed, ["own", "token"], "left_semi").join(hot, ["own", "token"], "left").withColumn("members", F.coalesce("members", F.lit(1)))
+        rows = rows.join(labelled, "gid").withColumn("radius", F.lit(0).cast("long")).withColumn("many", F.lit(0))
         second = candidates(rows, percent, forest=False)
         second = near_enough(second.join(tried.union(again), ["a", "b"], "left_anti"), classes, percent).select("a", "b")
         second = second.union(between(rest, parts).join(again, ["a", "b"], "left_anti").select("a", "b")).distinct()
