@@ -37,7 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 LONGEST = 200  # letters of a word that is encoded with others
-BATCH_BYTES = 10_000_000  # of text that is encoded together, so that equal words are once
+BATCH_BYTES = 6_000_000  # of text that is encoded together, so that equal words are once
 BLOCK_BYTES = 200_000  # of different words that are searched together
 BPE = 2
 ZIPF = 10.0
@@ -412,7 +412,7 @@ def decoded(docs: DataFrame, path: str = MODEL, column: str = "ids", to: str = "
 
 def with_tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """docs with ids, n_tokens and exact (whether decoding gives the text back; null for null), in place of columns of these names."""
-    small_batches(docs.sparkSession, "20m")
+    small_batches(docs.sparkSession, "6m")
     again = free("_again", docs)
     out = decoded(encoded(docs, path), path, to=again)
     return out.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("exact", F.col(again) == F.col("text")).drop(again)
