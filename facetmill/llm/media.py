@@ -7,8 +7,9 @@ patch is wide beside the scale's blur (25 pixels), as small patches of smooth im
 the image goes on with its border. A descriptor is cut in BANDS words, which are the keys of Hamming tables:
 descriptors that differ in fewer bits than there are bands have a word in common. All entries of a word are
 compared. Images are cut in blocks by a hash, one task a pair of blocks holds all corners of both, so no partner
-is missed, a common word is shared out over the pairs of blocks, and only links leave a task; a corner travels
-once a block. Matches of two images vote for the turn, zoom and shift between them; a link is made by
+is missed, a common word is shared out over the pairs of blocks, and only one row a linked image leaves a task (the
+smallest image that its links reach and their number, so a group of near copies is not written as all its pairs); a
+corner travels once a block. Matches of two images vote for the turn, zoom and shift between them; a link is made by
 CONSENSUS different places (PLACE pixels wide, so one corner at several scales counts once) that agree, or SHARE of
 the corners of the image with fewer, if that is more.
 Images with equal pixels are one class beforehand, so groups of exact copies are never matched.
@@ -29,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.operators.graph import connected_components
+from facetmill.operators.graph import connected_components, hung
 from facetmill.sources.memory import tidy
 from facetmill.sources.scratch import Scratch, arrow_rows
 
@@ -286,8 +287,20 @@ def _bytes(descs: pa.Array) -> np.ndarray:
     return np.frombuffer(descs.buffers()[2], np.uint8, edges[-1] - edges[0], edges[0]).reshape(len(descs), BITS // 8)
 
 
-def _blocks(consensus: int):
-    """Links of one pair of blocks; the corners of the pair are one table."""
+def _stars(ids: np.ndarray, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """cid, root and n of the classes that have links: the smallest class that is reached by them, and their number. Links are
+    counted and joined as they come and never held together. ids are sorted."""
+    root, n = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    for a, b in links:
+        u, v = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        n += np.bincount(u, minlength=len(ids)) + np.bincount(v, minlength=len(ids))
+        root = hung(root, u, v)
+    has = n > 0
+    return pa.table({"cid": pa.array(ids[has], pa.int64()), "root": pa.array(ids[root[has]], pa.int64()), "n": pa.array(n[has], pa.int64())})
+
+
+def _blocks(consensus: int, pairs: bool = True):
+    """Links of one pair of blocks, or their stars; the corners of the pair are one table."""
 
     def run(t: pa.Table) -> pa.Table:
         low, high = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
@@ -304,6 +317,8 @@ def _blocks(consensus: int):
         left = corners(low)
         right = left if low == high else corners(high)
         del raw
+        if not pairs:
+            return _stars(np.unique(cid), _linked(left, right, consensus))
         found = list(_linked(left, right, consensus))
         cat = lambda k: pa.array(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64), pa.int64())
         return pa.table({"a": cat(0), "b": cat(1)})
@@ -311,13 +326,24 @@ def _blocks(consensus: int):
     return run
 
 
-def linked(corners: DataFrame, consensus: int = CONSENSUS, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: classes of which consensus corners match in one transform. corners is a written table."""
+def _dealt(corners: DataFrame, block: int) -> GroupedData:
     n = corners.count()
     blocks = max(1, math.ceil(n / block), min(SPREAD, math.ceil(n / (block / 10))))
     rows = corners.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other")).drop("_other")
-    return rows.groupBy("lo", "hi").applyInArrow(_blocks(consensus), "a long, b long")
+    return rows.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other")).drop("_other").groupBy("lo", "hi")
+
+
+def linked(corners: DataFrame, consensus: int = CONSENSUS, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: classes of which consensus corners match in one transform, as many rows as there are links. corners is
+    a written table."""
+    return _dealt(corners, block).applyInArrow(_blocks(consensus), "a long, b long")
+
+
+def stars(corners: DataFrame, consensus: int = CONSENSUS, block: int = BLOCK) -> DataFrame:
+    """The same links as (cid, root, n): per pair of blocks one row for each class that has links between them, with the
+    smallest class that they reach and their number. Edges cid-root give the components of all links, sums of n the degrees,
+    and the rows grow with the classes of a group, not with their pairs. corners is a written table."""
+    return _dealt(corners, block).applyInArrow(_blocks(consensus, pairs=False), "cid long, root long, n long")
 
 
 def copies(spark: SparkSession, media: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
@@ -341,9 +367,9 @@ def copies(spark: SparkSession, media: DataFrame, consensus: int = CONSENSUS) ->
         one = seen.join(copies_, ["cid", "media_id"]).dropDuplicates(["cid"])
         one = single.select("cid", "width", "height", "pixels").unionByName(one.select("cid", "width", "height", "pixels"))
         corners = scratch.table(one.mapInArrow(tidy(_corners), CORNER), "corners")
-        links = scratch.table(linked(corners, consensus), "links")
+        links = scratch.table(stars(corners, consensus), "links")
         parts = connected_components(links, scratch)
-        degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("n_links"))
+        degree = links.groupBy("cid").agg(F.sum("n").alias("n_links"))
         whole = reps.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
         of = whole.join(whole.groupBy("comp").agg(F.min("rep").alias("class_id")), "comp").join(degree, "cid", "left").select("cid", "class_id", "n_links")
         out = marked.select("media_id", "cid").join(of, "cid", "left")

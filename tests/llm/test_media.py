@@ -92,3 +92,36 @@ def test_links_do_not_depend_on_batches(spark, monkeypatch):
         monkeypatch.setattr(media, "arrow_rows", lambda spark, rows, n=n: arrow_rows(spark, n))
         found.append(sorted(tuple(r) for r in media.copies(spark, df).collect()))
     assert found[0] == found[1] and any(r[2] for r in found[0])
+
+
+def test_near_copies_leave_a_task_once_an_image(spark, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("links are written as pairs")
+
+    a, n = image(np.random.default_rng(1)), 60
+    images = [a + i for i in range(n)] + edits(2)
+    corners = spark.createDataFrame(corners_of(images), media.CORNER)
+    for block in (10**6, 2000):
+        pairs = [tuple(r) for r in media.linked(corners, block=block).collect()]
+        assert len(pairs) > n * (n - 1) // 2
+        degree = np.bincount(np.array(pairs).ravel(), minlength=len(images))
+        rows = media.stars(corners, block=block).collect()
+        blocks = max(1, -(-corners.count() // block), min(media.SPREAD, -(-corners.count() * 10 // block)))
+        assert len(rows) <= blocks * (degree > 0).sum() < len(pairs)
+        assert all(r.root <= r.cid for r in rows)
+        got = defaultdict(int)
+        for r in rows:
+            got[r.cid] += r.n
+        assert dict(got) == {i: d for i, d in enumerate(degree.tolist()) if d}
+        assert parts_of([(r.cid, r.root) for r in rows], len(images)) == parts_of(pairs, len(images))
+    monkeypatch.setattr(media, "linked", never)
+    out = media.copies(spark, spark.createDataFrame([row(i, x) for i, x in enumerate(images)], MEDIA)).collect()
+    assert {r.class_id for r in out if r.media_id < n} == {0} and {r.n_links for r in out if r.media_id < n} == {n - 1}
+
+
+def parts_of(edges, n):
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
